@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def write_blobs(df: DataFrame, path: str, column: str = "blob", after: str = "\n") -> None:
-    """One file per partition: its rows' bytes, each followed by ``after``."""
-    df.select(F.col(column).cast("string").alias("value")).write.option("lineSep", after).text(path)
+    """One file per partition: its rows' bytes, each followed by ``after`` (Latin-1 text for its bytes)."""
+    df.select(F.col(column).cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", after).text(path)
 
 
 def read_blobs(spark: SparkSession, path: str) -> DataFrame:
