@@ -5,7 +5,7 @@ by their next digit, and the digit grows sixteenfold each round, so that any len
 is settled; a group whose digit was cut short by the end of the text has ended, and its rows are equal byte for byte: no
 digest decides equality. Groups are counted with partial aggregation; rows meet their group's count in a shuffled
 join that adaptive execution can split when one group holds a large part of all rows. After the first round only rows of
-open groups go on, each with the rest of its text.
+open groups go on.
 """
 
 from __future__ import annotations
@@ -24,41 +24,36 @@ def normalised(text):
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_digit: int = FIRST_DIGIT) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, first_digit: int = FIRST_DIGIT) -> DataFrame:
     """``docs`` without ``text_col``, with a struct ``_dedup`` (keep_id, group_size, kept, text_sha256, text); one row per input row.
 
     Null text counts as empty; empty texts are equal. Null ids sort last. Of rows that repeat both id and text, one is kept:
     the first by the hash of their other columns. Other columns pass through; ``_dedup`` must not be among them. ``text`` in
-    the struct is the original text of kept rows and null elsewhere. An empty table gives no rows.
+    the struct is the original text of kept rows and null elsewhere (without ``keep_text``, null everywhere, which saves
+    writing texts that stand alone). An empty table gives no rows.
     """
     work = Workspace(docs.sparkSession, "exact-dedup")
-    rest = [c for c in docs.columns if c not in (text_col,)]
-    norm = normalised(F.col(f"t.{text_col}"))
-    rows = docs.alias("t").select(F.struct(*[F.col(f"t.`{c}`") for c in rest]).alias("row"), F.col(f"t.`{id_col}`").alias("id"), F.col(f"t.`{text_col}`").alias("text"), F.encode(norm, "UTF-8").alias("left"), F.unhex(F.sha2(norm, 256)).alias("sha"), F.lit(0).cast("long").alias("gid"))
-    settled, at, width, opened = [], 0, first_digit, None
+    rest = [c for c in docs.columns if c != text_col]
+    norm = normalised(F.col(text_col))
+    rows = docs.select(F.struct(*rest).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.unhex(F.sha2(norm, 256)).alias("sha"), F.lit(0).cast("long").alias("gid"))
+    settled, at, width = [], 0, first_digit
     while True:
-        digit = F.substring("left", 1, width)
+        digit = F.substring(F.encode(normalised(F.col("text")), "UTF-8"), at + 1, width)
         dealt = rows.withColumn("digit", digit)
         groups = dealt.groupBy("gid", "digit").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("keep")).where("n > 1")
         groups = work.save(groups.withColumn("next", F.monotonically_increasing_id()), f"groups{at}")
-        if not groups.head(1):
-            settled.append(alone(rows))
-            break
-        joined = dealt.join(groups, ["gid", "digit"], "left")
-        first = at == 0
-        if first:  # rows that stand alone end here, without a rest of text to carry
-            joined = joined.withColumn("left", F.when(F.col("n").isNotNull() & (F.length("digit") == width), F.expr(f"substring(left, {width + 1})")))
-        else:
-            joined = joined.withColumn("left", F.expr(f"substring(left, {width + 1})"))
-        state = work.save(joined.select("row", "id", "text", "left", "sha", "gid", "n", "keep", "next", (F.length("digit") < width).alias("ended")), f"round{at}")
-        work.drop(opened)
+        # the same plan at any size: a sort-merge join, whose hot partitions adaptive execution splits
+        joined = dealt.join(groups.hint("merge"), ["gid", "digit"], "left")
+        open_ = F.col("n").isNotNull() & (F.length("digit") == width)
+        text = F.col("text") if keep_text else F.when(open_, F.col("text"))
+        state = work.save(joined.select("row", "id", text.alias("text"), "sha", "n", "keep", "next", open_.alias("open")), f"round{at}")
         work.drop(groups)
         settled.append(alone(state.where("n IS NULL")))
-        same = Window.partitionBy("next", "id").orderBy(F.xxhash64("row"), F.xxhash64("text"))
-        ended = state.where("n IS NOT NULL AND ended").withColumn("nth", F.row_number().over(same))
+        same = Window.partitionBy("next", "id").orderBy(F.xxhash64("row"))
+        ended = state.where("n IS NOT NULL AND NOT open").withColumn("nth", F.row_number().over(same))
         settled.append(result(ended, F.col("keep"), F.col("n"), F.col("id").eqNullSafe(F.col("keep")) & (F.col("nth") == 1)))
-        rows = state.where("n IS NOT NULL AND NOT ended").select("row", "id", "text", "left", "sha", F.col("next").alias("gid"))
-        at, width, opened = at + 1, width * GROWTH, None
+        rows = state.where("open").select("row", "id", "text", "sha", F.col("next").alias("gid"))
+        at, width = at + width, width * GROWTH
         if not rows.head(1):
             break
     out = settled[0]
@@ -77,5 +72,5 @@ def result(rows: DataFrame, keep, size, kept) -> DataFrame:
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """The contract's columns for ``documents``."""
-    out = exact_dedup(docs.select("doc_id", "text"))
+    out = exact_dedup(docs.select("doc_id", "text"), keep_text=False)
     return out.select("doc_id", "_dedup.keep_id", "_dedup.group_size", "_dedup.kept", "_dedup.text_sha256")
