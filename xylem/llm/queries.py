@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from xylem.llm import exact_dedup, mixing, packing, quality, warc, wavelet
+from xylem.llm import exact_dedup, mixing, packing, quality, secrets, warc, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_exact_dedup, op5_mixing, op6_quality, op8_tokens, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_warc, op3_exact_dedup, op5_mixing, op6_quality, op7_secrets, op8_tokens, op10_packing)}
 
 ORACLES = {
     "op2_warc": """
