@@ -161,7 +161,7 @@ def _logsum(x, axis):
     return m + np.log(np.exp(x - np.expand_dims(m, axis)).sum(axis))
 
 
-def train(x: np.ndarray, y: np.ndarray, mask: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 1e-3) -> dict:
+def train(x: np.ndarray, y: np.ndarray, mask: np.ndarray, rounds: int = 100, rate: float = 0.15, decay: float = 1e-3) -> dict:
     """Maximum-likelihood weights by forward-backward and Adam: x (chunks, T, features), y tags 0 outside, 1 begin, 2 inside."""
     n, T, f = x.shape
     w, a = np.zeros((f, 3)), np.zeros((3, 3))
@@ -236,7 +236,7 @@ def examples(texts: list[str], T: int = 48, plain_per_secret: int = 6):
             part = (x[k : k + T], y[k : k + T])
             (with_ if part[1].any() else without).append(part)
     rng.shuffle(without)
-    chunks = with_[:3000] + without[: min(6000, max(200, plain_per_secret * len(with_)))]
+    chunks = with_[:1500] + without[: min(2500, max(200, plain_per_secret * len(with_)))]
     x, y, mask = np.zeros((len(chunks), T, len(FEATURES))), np.zeros((len(chunks), T), np.int64), np.zeros((len(chunks), T), bool)
     for i, (cx, cy) in enumerate(chunks):
         x[i, : len(cy)], y[i, : len(cy)], mask[i, : len(cy)] = cx, cy, True
