@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from xylem.llm import exact_dedup, mixing, packing, quality, secrets, toxicity, warc, wavelet
+from xylem.llm import exact_dedup, mixing, near_dedup, packing, quality, secrets, toxicity, warc, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -43,7 +47,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_exact_dedup, op4_toxicity, op5_mixing, op6_quality, op7_secrets, op8_tokens, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_warc, op3_exact_dedup, op4_toxicity, op5_mixing, op6_quality, op7_secrets, op8_tokens, op10_packing)}
 
 ORACLES = {
     "op2_warc": """
