@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from xylem.llm import exact_dedup, mixing, near_dedup, packing, quality, secrets, toxicity, warc, wavelet
+from xylem.llm import exact_dedup, mixing, near_dedup, packing, quality, repeats, secrets, toxicity, warc, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,11 +43,15 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.verdicts(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_warc, op3_exact_dedup, op4_toxicity, op5_mixing, op6_quality, op7_secrets, op8_tokens, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_warc, op3_exact_dedup, op4_toxicity, op5_mixing, op6_quality, op7_secrets, op8_tokens, op9_repeats, op10_packing)}
 
 ORACLES = {
     "op2_warc": """
