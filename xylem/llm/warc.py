@@ -30,6 +30,7 @@ GZIP = b"\x1f\x8b\x08"
 #: A gzip member without content, as Latin-1 text.
 _EMPTY = "\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 _MOST = 1 << 30  # bytes that one member may unpack to
+_STEP = 1 << 13  # bytes of a member unpacked at a time
 
 
 def member(data: bytes, level: int = 1) -> bytes:
@@ -88,14 +89,19 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, bytes, int]:
 
 def unpack(data: bytes, at: int) -> tuple[bytes, int]:
     """The content of the gzip member at ``at`` and where it ends."""
-    unzip = zlib.decompressobj(31)
+    unzip, parts, size = zlib.decompressobj(31), [], 0
     try:
-        out = unzip.decompress(memoryview(data)[at:], _MOST)
+        # by small steps: what follows a member is never copied as a whole
+        while not unzip.eof and at < len(data) and size <= _MOST:
+            step = data[at : at + _STEP]
+            parts.append(unzip.decompress(step))
+            size += len(parts[-1])
+            at += len(step)
     except zlib.error as e:
         raise Damage(f"gzip: {e}") from None
     if not unzip.eof:
         raise Damage("gzip: the member is cut short or too large")
-    return out, len(data) - len(unzip.unused_data)
+    return b"".join(parts), at - len(unzip.unused_data)
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, bytes, str]]:
