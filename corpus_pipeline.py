@@ -1,8 +1,48 @@
-"""The corpus pipeline: quality rules, exact dedup, near-dedup, mixing and packing, each on what the stage before kept."""
+"""The corpus pipeline: quality rules, exact dedup, near-dedup, mixing and packing, each on what the stage before kept.
 
-STAGES: list = []
+Every stage but the last returns the columns of documents, and its decisions are carried out: rejected documents and copies are
+gone, mixed ones are there as often as they are taken.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from xylem.llm import exact_dedup, mixing, near_dedup, packing, quality
+from xylem.session import Workspace
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.kept_documents(docs)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.kept_documents(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shingles of five words, a similarity of 0.8."""
+    return near_dedup.kept_documents(docs, near_dedup.FIVE_WORDS)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs)
+
+
+STAGES = [("quality rules", quality_stage), ("exact dedup", exact_stage), ("near-dedup", near_stage), ("mixing", mix_stage), ("packing", pack_stage)]
+
+#: The MCD estimate, genetic packing and random rounding have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each written and read again."""
+    work = Workspace(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = work.save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

@@ -74,3 +74,9 @@ def verdicts(docs: DataFrame) -> DataFrame:
     """The contract's columns for ``documents``."""
     out = exact_dedup(docs.select("doc_id", "text"), keep_text=False)
     return out.select("doc_id", "_dedup.keep_id", "_dedup.group_size", "_dedup.kept", "_dedup.text_sha256")
+
+
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each text, with all columns of ``docs``."""
+    out = exact_dedup(docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "doc_id", "text")).where("_dedup.kept")
+    return out.select("row.*", F.col("_dedup.text").alias("text")).select(*[F.col(f"`{c}`") for c in docs.columns])

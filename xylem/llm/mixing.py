@@ -151,8 +151,8 @@ def shares(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     """``docs``, each row as often as the mix takes it (copies above one repeat the row)."""
-    size = size_of(F.col("text"))
-    took = mix(docs.select("doc_id", "source", size.alias("size")), weights, share, most).where("copies > 0").select(F.col("doc_id").alias("_d"), F.col("occ").alias("_o"), F.col("copies").alias("_n"))
-    numbered = docs.withColumn("_occ", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("source").asc_nulls_last(), size)))
-    out = numbered.join(took, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_occ") == F.col("_o")))
-    return out.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*docs.columns)
+    named = docs.select(F.struct("*").alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"))
+    took = mix(named.drop("row"), weights, share, most).where("copies > 0").select(F.col("doc_id").alias("d"), F.col("occ").alias("o"), F.col("copies").alias("n"))
+    named = named.withColumn("occ", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("source").asc_nulls_last(), "size")))
+    out = named.join(took, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("occ") == F.col("o")))
+    return out.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("row.*")

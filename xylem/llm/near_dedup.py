@@ -1,7 +1,7 @@
 """Near-duplicate documents by MinHash.
 
 1. Texts of equal words are one unit from the start: copies never meet in a bucket.
-2. Each unit's shingles pass BANDS * ROWS universal hashes ((a x + b) mod 2^64, high bits); the minima, ROWS at a time, are
+2. Each unit's shingles pass bands * rows universal hashes ((a x + b) mod 2^64, high bits); the minima, ``rows`` at a time, are
    band keys. Units that share a key of a band are candidates; each bucket is a star around its smallest unit, never all pairs.
 3. Connected components of these stars (alternating large-star and small-star) are clusters: every link lies within one.
 4. In a cluster, signatures are compared first; pairs whose agreement could belong to a link are confirmed on full shingle sets.
@@ -9,12 +9,13 @@
    pairs of rows, and each comparison returns at most a spanning forest of its links.
 5. Connected components of the confirmed links, again by alternating stars, are the groups.
 
-At a similarity of 0.85 the bands miss a link with a chance below 3e-7, and a cluster compares more than its buckets.
+At the least similarity the bands miss a link with a chance below 3e-7, and a cluster compares more than its buckets.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -25,21 +26,41 @@ from pyspark.sql import functions as F
 from xylem.llm.text import LOWER, flat, shingle_hashes, slices, span_hashes, word_bounds
 from xylem.session import Workspace
 
-BANDS, ROWS = 32, 6
 #: Bits of a shingle's hash; the other bits of a word number the documents of a slice.
 HASH_BITS = 54
-SHINGLE, NUMERATOR, DENOMINATOR = 3, 85, 100
-#: Agreement of signatures below the limit that still goes on to the full sets: six standard deviations.
-MARGIN = 6 * (0.85 * 0.15 / (BANDS * ROWS)) ** 0.5
 #: Units and bytes of shingles that a block holds, about.
 BLOCK_UNITS, BLOCK_BYTES = 256, 8 << 20
 
+
+@dataclass(frozen=True)
+class Settings:
+    """Links are sets of shingles of ``words`` words with denominator * intersection >= numerator * union.
+
+    ``bands`` and ``rows`` are to miss a link with a chance below 1e-6.
+    """
+
+    words: int = 3
+    numerator: int = 85
+    denominator: int = 100
+    bands: int = 32
+    rows: int = 6
+
+    @property
+    def least_agreement(self) -> float:
+        """Agreement of signatures from which a pair goes on to the full sets: six standard deviations below the limit."""
+        s = self.numerator / self.denominator
+        return s - 6 * (s * (1 - s) / (self.bands * self.rows)) ** 0.5
+
+
+#: Five words and a similarity of 0.8, for use without other demands.
+FIVE_WORDS = Settings(words=5, numerator=80, bands=40, rows=5)
+
 _RNG = np.random.default_rng(85)
-_A = _RNG.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(1 << 63, size=BANDS * ROWS, dtype=np.uint64)
+_A = _RNG.integers(1 << 63, size=1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _RNG.integers(1 << 63, size=1024, dtype=np.uint64)
 
 
-def shingle_sets(column: pa.Array, k: int = SHINGLE):
+def shingle_sets(column: pa.Array, k: int):
     """(distinct shingle hashes, ascending within each document; the documents' offsets; each document's digest of its words).
 
     A document without words has no shingles; its digest is empty.
@@ -61,15 +82,15 @@ def shingle_sets(column: pa.Array, k: int = SHINGLE):
     return sets, offsets, digests
 
 
-def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS minima (32 bits) of each non-empty set."""
+def signatures(sets: np.ndarray, offsets: np.ndarray, hashes: int) -> np.ndarray:
+    """That many minima (32 bits) of each non-empty set."""
     starts = offsets[:-1][np.diff(offsets) > 0]
-    out = np.empty((len(starts), BANDS * ROWS), np.uint32)
+    out = np.empty((len(starts), hashes), np.uint32)
     if len(starts):
         x = sets & np.uint64(0xFFFFFFFF)
         t = np.empty_like(x)
         with np.errstate(over="ignore"):
-            for i in range(BANDS * ROWS):
+            for i in range(hashes):
                 np.multiply(x, _A[i], out=t)
                 t += _B[i]
                 out[:, i] = np.minimum.reduceat(t, starts) >> np.uint64(32)
@@ -83,37 +104,50 @@ def _slices(batch):
             yield s.slice(k, 1 << (64 - HASH_BITS))
 
 
-def _units(batches):
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A 64-bit key of each band of each signature."""
+    parts = sig.reshape(-1, bands, rows).astype(np.uint64)
+    key = np.zeros(parts.shape[:2], np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(rows):
+            key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + parts[:, :, j] * np.uint64(0x94D049BB133111EB)
+    return key ^ (key >> np.uint64(31))
+
+
+def _units(how: Settings):
     """(row columns, unit, n_shingles, bands) of each document."""
-    for batch in batches:
-        for s in _slices(batch):
-            sets, offsets, digests = shingle_sets(s.column("text"))
-            n = np.diff(offsets)
-            full = n > 0
-            k64 = np.ascontiguousarray(signatures(sets, offsets)).view(np.uint64).reshape(-1, BANDS, ROWS // 2)
-            with np.errstate(over="ignore"):
-                key = np.zeros(k64.shape[:2], np.uint64)
-                for j in range(ROWS // 2):
-                    key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + k64[:, :, j] * np.uint64(0x94D049BB133111EB)
-                key ^= key >> np.uint64(31)
-            lists = pa.array(key.view(np.int64).ravel())
-            at = np.zeros(len(n) + 1, np.int32)
-            at[1:] = np.cumsum(full) * BANDS
-            rest = [c for c in s.schema.names if c != "text"]
-            yield pa.record_batch([*[s.column(c) for c in rest], pa.array(digests, pa.binary()), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(pa.array(at), lists)], names=[*rest, "unit", "n_shingles", "bands"])
-
-
-def _sets(batches):
-    """(unit, cluster columns, signature, set) of candidate documents."""
-    for batch in batches:
-        for s in _slices(batch):
-            sets, offsets, digests = shingle_sets(s.column("text"))
-            sig = signatures(sets, offsets)
-            out = [x.tobytes() for x in np.split(sets, offsets[1:-1])]
-            yield pa.record_batch([pa.array(digests, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(out, pa.binary())], names=["unit", "sig", "items"])
-
-
-def linked_forest(sigs: list[np.ndarray], sets: list[np.ndarray], side: np.ndarray | None, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> list[tuple[int, int]]:
+
+    def run(batches):
+        for batch in batches:
+            for s in _slices(batch):
+                sets, offsets, digests = shingle_sets(s.column("text"), how.words)
+                n = np.diff(offsets)
+                keys = band_keys(signatures(sets, offsets, how.bands * how.rows), how.bands, how.rows)
+                at = np.zeros(len(n) + 1, np.int32)
+                at[1:] = np.cumsum(n > 0) * how.bands
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(keys.view(np.int64).ravel()))
+                rest = [c for c in s.schema.names if c != "text"]
+                yield pa.record_batch([*[s.column(c) for c in rest], pa.array(digests, pa.binary()), pa.array(n.astype(np.int64)), lists], names=[*rest, "unit", "n_shingles", "bands"])
+
+    return run
+
+
+def _sets(how: Settings):
+    """(unit, signature, set) of candidate documents."""
+
+    def run(batches):
+        for batch in batches:
+            for s in _slices(batch):
+                sets, offsets, digests = shingle_sets(s.column("text"), how.words)
+                full = np.flatnonzero(np.diff(offsets) > 0)
+                sig = signatures(sets, offsets, how.bands * how.rows)
+                out = [sets[offsets[i] : offsets[i + 1]].tobytes() for i in full]
+                yield pa.record_batch([pa.array([digests[i] for i in full], pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(out, pa.binary())], names=["unit", "sig", "items"])
+
+    return run
+
+
+def linked_forest(sigs: list[np.ndarray], sets: list[np.ndarray], side: np.ndarray | None, how: Settings) -> list[tuple[int, int]]:
     """A spanning forest of the links among sets (with ``side``, of the links from side 0 to side 1)."""
     n = len(sets)
     sizes = np.array([len(x) for x in sets], np.int64)
@@ -138,7 +172,7 @@ def linked_forest(sigs: list[np.ndarray], sets: list[np.ndarray], side: np.ndarr
         return i
 
     out = []
-    least = numerator / denominator - MARGIN
+    numerator, denominator = how.numerator, how.denominator
     for i in range(n - 1):
         others = np.arange(i + 1, n)
         if side is not None:
@@ -147,7 +181,7 @@ def linked_forest(sigs: list[np.ndarray], sets: list[np.ndarray], side: np.ndarr
         others = others[denominator * small >= numerator * large]
         if not len(others):
             continue
-        others = others[(sig[others] == sig[i]).mean(1) >= least]
+        others = others[(sig[others] == sig[i]).mean(1) >= how.least_agreement]
         if not len(others):
             continue
         inter = np.bitwise_count(bits[others] & bits[i]).sum(1, dtype=np.int64)
@@ -160,14 +194,14 @@ def linked_forest(sigs: list[np.ndarray], sets: list[np.ndarray], side: np.ndarr
     return out
 
 
-def _compare(numerator: int, denominator: int):
+def _compare(how: Settings):
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.drop_duplicates("unit")
         if len(f) < 2:
             return pd.DataFrame({"u": [], "v": []})
         side = f["blk"].to_numpy() if f["blk"].nunique() > 1 else None
         units = f["unit"].tolist()
-        links = linked_forest([np.frombuffer(x, np.uint32) for x in f["sig"]], [np.frombuffer(x, np.uint64) for x in f["items"]], side, numerator, denominator)
+        links = linked_forest([np.frombuffer(x, np.uint32) for x in f["sig"]], [np.frombuffer(x, np.uint64) for x in f["items"]], side, how)
         return pd.DataFrame({"u": [units[i] for i, _ in links], "v": [units[j] for _, j in links]})
 
     return run
@@ -205,10 +239,10 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def grouped(docs: DataFrame, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
+def grouped(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     """The columns of ``docs`` but text, with n_shingles, component_id and unit, one row per row of ``docs`` (doc_id, text, ...).
 
-    Documents are linked with denominator * intersection >= numerator * union. Texts without words are linked with nothing, each
+    Texts without words are linked with nothing, each
     other included; their unit is empty. Null ids sort last and are not an id: a component of null ids alone has a null
     component_id. Rows that repeat a doc_id are rows like others. An empty table gives no rows.
     """
@@ -216,7 +250,7 @@ def grouped(docs: DataFrame, numerator: int = NUMERATOR, denominator: int = DENO
     work = Workspace(spark, "near-dedup")
     rest = [c for c in docs.columns if c != "text"]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema)
-    rows = work.save(docs.select(*rest, "text").mapInArrow(_units, f"{kinds}, unit binary, n_shingles long, bands array<long>"), "units")
+    rows = work.save(docs.select(*rest, "text").mapInArrow(_units(how), f"{kinds}, unit binary, n_shingles long, bands array<long>"), "units")
     units = rows.where("n_shingles > 0").groupBy("unit").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     keyed = work.save(units.select("unit", F.posexplode("bands").alias("band", "key")), "bands")
     # buckets of two or more, as stars
@@ -229,7 +263,7 @@ def grouped(docs: DataFrame, numerator: int = NUMERATOR, denominator: int = DENO
     chosen = some.groupBy("unit").agg(F.min("doc_id").alias("of"), F.max("n_shingles").alias("n"))
     # rows that repeat a doc_id can have other texts: the unit tells them apart again below
     texts = docs.select("doc_id", "text").join(chosen.select("of").distinct(), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
-    sets = texts.select("text").mapInArrow(_sets, "unit binary, sig binary, items binary").join(members, F.col("unit") == F.col("node"))
+    sets = texts.select("text").mapInArrow(_sets(how), "unit binary, sig binary, items binary").join(members, F.col("unit") == F.col("node"))
     sets = work.save(sets.select("unit", "root", "sig", "items"), "sets")
     size = sets.groupBy(F.col("root").alias("c")).agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_UNITS), F.ceil(F.sum(F.octet_length("items")) / BLOCK_BYTES)).cast("int").alias("blocks"))
     block = lambda u, n: F.pmod(F.xxhash64(u), n).cast("int")
@@ -242,7 +276,7 @@ def grouped(docs: DataFrame, numerator: int = NUMERATOR, denominator: int = DENO
     pairs = work.save(pairs.union(size.where("blocks = 1").select("c", F.lit(0), F.lit(0))).select("root", "i", "j"), "pairs")
     ends = pairs.select("root", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("blk"))
     meeting = placed.join(ends, ["root", "blk"]).select("root", "i", "j", "blk", "unit", "sig", "items")
-    links = meeting.groupBy("root", "i", "j").applyInPandas(_compare(numerator, denominator), "u binary, v binary")
+    links = meeting.groupBy("root", "i", "j").applyInPandas(_compare(how), "u binary, v binary")
     linked = work.save(components(links, work, "links"), "linked")
     # smallest doc_id of each group
     full = rows.drop("bands").join(linked, F.col("unit") == F.col("node"), "left").withColumn("group", F.when(F.col("n_shingles") > 0, F.coalesce("root", "unit"))).drop("node", "root")
@@ -256,9 +290,10 @@ def verdicts(docs: DataFrame) -> DataFrame:
     return grouped(docs.select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def kept_documents(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each group, and every row without words."""
-    named = docs.select("doc_id", F.xxhash64("text").alias("_h"), "text")
-    good = grouped(named).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    good = good.groupBy("doc_id", "unit").agg(F.min("_h").alias("_h")).select(F.col("doc_id").alias("_d"), "_h").distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left_semi")
+def kept_documents(docs: DataFrame, how: Settings = FIVE_WORDS) -> DataFrame:
+    """One row of ``docs`` for each group, and every row without words, with all columns of ``docs``."""
+    named = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("h"), "text")
+    good = grouped(named.drop("row"), how).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # of rows that repeat a doc_id with different words, all are their own units; with equal words, one text stays
+    good = good.groupBy(F.col("doc_id").alias("d"), "unit").agg(F.min("h").alias("t")).select("d", "t").distinct()
+    return named.drop("text").join(good, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("t")), "left_semi").select("row.*")

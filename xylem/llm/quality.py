@@ -228,7 +228,8 @@ def judged(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, with their columns."""
-    good = judged(docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text", "lang", "source")).where("kept")
-    good = good.select(F.col("doc_id.doc_id").alias("_d"), F.col("doc_id.h").alias("_h")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("_d")) & F.xxhash64("text").eqNullSafe(F.col("_h")), "left_semi")
+    """The rows of ``docs`` that pass, with all columns of ``docs``."""
+    named = docs.select(F.struct("*").alias("row"), F.struct("doc_id", F.xxhash64("text").alias("h"), F.xxhash64("lang", "source").alias("g")).alias("key"))
+    good = judged(docs.select(F.struct("doc_id", F.xxhash64("text").alias("h"), F.xxhash64("lang", "source").alias("g")).alias("doc_id"), "text", "lang", "source")).where("kept")
+    good = good.select(F.col("doc_id.doc_id").alias("d"), F.col("doc_id.h").alias("h"), F.col("doc_id.g").alias("g")).distinct()
+    return named.join(good, F.col("key.doc_id").eqNullSafe(F.col("d")) & (F.col("key.h") == F.col("h")) & (F.col("key.g") == F.col("g")), "left_semi").select("row.*")
