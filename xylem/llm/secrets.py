@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from xylem.llm.sampling import bounded_sample
 from xylem.llm.text import LOWER, flat, slices, span_hashes
 
 KINDS = ("assign", "access", "hex", "crf")
@@ -254,7 +255,7 @@ def _fit(frames):
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
     """The field's weights, trained in one task on ``train_docs`` documents at most; only weights come to the driver."""
-    sample = docs.select("text", F.xxhash64("doc_id", F.lit(SEED)).alias("h")).orderBy("h", F.xxhash64("text")).limit(train_docs)
+    sample = bounded_sample(docs, train_docs, "doc_id", seed=SEED)
     return json.loads(sample.select("text").coalesce(1).mapInPandas(_fit, "model string").first()["model"])
 
 
