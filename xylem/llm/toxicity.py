@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from xylem.llm.sampling import bounded_sample
 from xylem.llm.text import LOWER, flat, slices, span_hashes, word_bounds
 
 #: Bounds of the training sample: confirmed toxic, confirmed clean (these only set the threshold) and unlabelled documents, the first by the hash of their ids.
@@ -145,7 +146,7 @@ def _fit(prior: float):
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """The scorer, from labels (doc_id, toxic) that are not held out. Only its weights come to the driver."""
-    pick = lambda df, n: df.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(n)
+    pick = lambda df, n: bounded_sample(df.select("doc_id"), n, "doc_id")
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = known.agg(F.avg((F.col("toxic") == 1).cast("double")).alias("p")).first()["p"]
     prior = min(max(share if share is not None else 0.1, 0.01), 0.5)
@@ -155,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     # at most MAX_POSITIVE + MAX_CLEAN + MAX_UNLABELLED ids of 8 bytes: this side may always be broadcast
     roles = roles.groupBy("doc_id").agg(F.max("role").alias("role")).withColumnRenamed("doc_id", "of")
     sample = docs.join(F.broadcast(roles), F.col("doc_id") == F.col("of")).select("role", "text")
-    rows = sample.mapInArrow(_sample_features, "role int, features binary").coalesce(1).mapInPandas(_fit(prior), "model string").first()
+    rows = sample.mapInArrow(_sample_features, "role int, features binary").repartition(1).mapInPandas(_fit(prior), "model string").first()
     with np.load(io.BytesIO(base64.b64decode(rows["model"]))) as z:
         return {k: z[k] for k in z.files}
 
