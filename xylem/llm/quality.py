@@ -14,7 +14,7 @@ from math import exp, lgamma, log
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from xylem.llm.text import flat, shingle_hashes, slices, span_hashes, word_bounds
@@ -172,11 +172,11 @@ def _moments(rows: DataFrame, inside) -> DataFrame:
 
 
 def _pooled(moments: DataFrame) -> DataFrame:
-    """Small groups take the sums of all documents."""
+    """Small groups take the sums of all documents (a window over one row per group)."""
     sums = ["n", *[f"s{i}" for i in range(P)], *[f"q{i}_{j}" for i, j in _PAIRS]]
-    all_ = moments.agg(*[F.sum(c).alias(f"all_{c}") for c in sums])  # one row
+    every = Window.partitionBy(F.lit(1))
     small = F.col("group_n") < LEAST_GROUP
-    return moments.crossJoin(F.broadcast(all_)).select("g_lang", "g_source", "group_n", *[F.when(small, F.col(f"all_{c}")).otherwise(F.col(c)).alias(c) for c in sums])
+    return moments.select("g_lang", "g_source", "group_n", *[F.when(small, F.sum(c).over(every)).otherwise(F.col(c)).alias(c) for c in sums])
 
 
 def _located(rows: DataFrame, estimate: DataFrame) -> DataFrame:
