@@ -32,22 +32,25 @@ def _canonical_text(s: Column) -> Column:
     return F.replace(escape_text(s), F.lit("\r"), F.lit("&#xD;"))
 
 
-def serialize(xml: Shredded, nodes: DataFrame | None = None, declaration: bool = False, indent: int = 0) -> DataFrame:
+def serialize(xml: Shredded, nodes: DataFrame | None = None, declaration: bool = False, indent: int = 0, extra: DataFrame | None = None) -> DataFrame:
     """(doc_id, xml) of every document; with ``nodes`` (doc_id, pre), (doc_id, pre, xml) of those subtrees.
 
     The declaration is written if asked for or if the source had one, then the document type. Empty elements are ``<e/>``; attributes come before
-    namespace declarations. ``indent`` puts elements of element-only content on lines of their own.
+    namespace declarations. ``extra`` (doc_id, at, side, depth, own, s) are pieces to put in, see ``edit``. ``indent`` puts elements of element-only content on lines of their own.
     """
     attr = xml.nodes.where("kind = 'attribute'").select("doc_id", F.col("parent_pre").alias("own"), F.col("pre").alias("k"), F.concat(F.lit(" "), _qname(), F.lit('="'), escape_attribute(F.col("value")), F.lit('"')).alias("s"))
     name = F.concat(F.lit(" xmlns"), F.when(F.col("prefix") != "", F.concat(F.lit(":"), "prefix")).otherwise(""))
     decl = xml.ns_decls.select("doc_id", F.col("owner_pre").alias("own"), (F.lit(1 << 30) + F.row_number().over(Window.partitionBy("doc_id", "owner_pre").orderBy("prefix"))).alias("k"), F.concat(name, F.lit('="'), escape_attribute(F.col("uri")), F.lit('"')).alias("s"))
-    return _write(xml, attr.unionByName(decl), nodes, declaration, indent)
+    return _write(xml, attr.unionByName(decl), nodes, declaration, indent, extra)
 
 
-def _write(xml: Shredded, tails: DataFrame, nodes: DataFrame | None, declaration: bool, indent: int) -> DataFrame:
+def _write(xml: Shredded, tails: DataFrame, nodes: DataFrame | None, declaration: bool, indent: int, extra: DataFrame | None = None) -> DataFrame:
     tails = tails.groupBy(F.col("doc_id").alias("t_doc"), "own").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]), "").alias("tail"))
     n = xml.nodes.where("kind NOT IN ('attribute', 'document')")
-    kids = n.groupBy(F.col("doc_id").alias("c_doc"), F.col("parent_pre").alias("c_pre")).agg(F.max(F.col("kind").isin("text", "cdata")).alias("mixed"))
+    inside = n.select("doc_id", "parent_pre", F.col("kind").isin("text", "cdata").alias("chars"))
+    if extra is not None:
+        inside = inside.union(extra.where("own IS NOT NULL").select("doc_id", "own", F.lit(True)))
+    kids = inside.groupBy(F.col("doc_id").alias("c_doc"), F.col("parent_pre").alias("c_pre")).agg(F.max("chars").alias("mixed"))
     n = n.join(tails, (F.col("doc_id") == F.col("t_doc")) & (F.col("pre") == F.col("own")), "left").join(kids, (F.col("doc_id") == F.col("c_doc")) & (F.col("pre") == F.col("c_pre")), "left")
     full = F.col("mixed").isNotNull()
     q, tail = _qname(), F.coalesce("tail", F.lit(""))
@@ -63,8 +66,10 @@ def _write(xml: Shredded, tails: DataFrame, nodes: DataFrame | None, declaration
         line = F.concat(F.lit("\n"), F.repeat(F.lit(" " * indent), F.col("level") - 1))
         opened = F.concat(F.when((F.col("level") > 1) & ~F.coalesce("u_mixed", F.lit(False)), line).otherwise(""), opened)
         closed = F.concat(F.when(~F.coalesce("mixed", F.lit(True)), line).otherwise(""), closed)
-    piece = F.array(F.struct(F.col("pre").alias("at"), F.lit(0).alias("side"), F.col("level").alias("depth"), opened.alias("s")), F.struct(F.col("last").alias("at"), F.lit(1).alias("side"), (-F.col("level")).alias("depth"), F.when((F.col("kind") == "element") & full, closed).otherwise("").alias("s")))
+    piece = F.array(F.struct(F.col("pre").alias("at"), F.lit(0).alias("side"), F.col("level").cast("double").alias("depth"), opened.alias("s")), F.struct(F.col("last").alias("at"), F.lit(1).alias("side"), (-F.col("level")).cast("double").alias("depth"), F.when((F.col("kind") == "element") & full, closed).otherwise("").alias("s")))
     rows = n.select("doc_id", "pre", F.explode(piece).alias("p")).select("doc_id", "pre", "p.*")
+    if extra is not None:
+        rows = rows.union(extra.select("doc_id", F.col("at").alias("pre"), "at", "side", "depth", "s"))
     if nodes is not None:
         spans = nodes.select("doc_id", "pre").join(xml.nodes.select(F.col("doc_id").alias("w_doc"), F.col("pre").alias("w_pre"), "last"), (F.col("doc_id") == F.col("w_doc")) & (F.col("pre") == F.col("w_pre")))
         spans = spans.select(F.col("w_doc"), F.col("w_pre"), F.col("last").alias("w_last"))
