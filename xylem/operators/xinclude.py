@@ -35,11 +35,13 @@ def _ordinals(nodes: DataFrame) -> DataFrame:
     return j.groupBy("doc_id", "pre").agg(F.concat(F.lit("/"), F.array_join(F.transform(parts, lambda x: x["u_ord"].cast("string")), "/")).alias("steps"))
 
 
-def _selected(resources: DataFrame, wanted: DataFrame, work: Workspace) -> DataFrame:
+def _held(xml: Shredded, work: Workspace) -> Shredded:
+    return Shredded(work.save(xml.documents, "documents"), work.save(xml.nodes, "nodes"), work.save(xml.ns_decls, "ns_decls"))
+
+
+def _selected(resources: DataFrame, xml: Shredded, wanted: DataFrame, work: Workspace) -> DataFrame:
     """(uri, pointer, text): each wanted (uri, pointer) of a well-formed resource as XML text; a pointer that finds nothing gives the root."""
-    r = resources.select(F.xxhash64("uri").alias("doc_id"), "uri", "xml")
-    xml = shred(r.select("doc_id", "xml"))
-    named = r.select(F.col("doc_id").alias("r_doc"), "uri")
+    named = resources.select(F.xxhash64("uri").alias("r_doc"), "uri")
     good = xml.documents.where("status = 'OK'").select(F.col("doc_id").alias("g_doc"))
     asked = wanted.where("pointer IS NOT NULL").select(F.col("uri").alias("w_uri"), "pointer").distinct()
     with_doc = asked.join(named, F.col("w_uri") == F.col("uri")).select("r_doc", "pointer")
@@ -69,13 +71,15 @@ def resolve(xml: Shredded, resources: DataFrame) -> Shredded:
     A document that still includes after MOST_ROUNDS keeps its includes. No href is no include. Text resources are escaped.
     """
     work = Workspace(xml.nodes.sparkSession, "xinclude")
-    resources = resources.select("uri", "xml")
+    resources = work.save(resources.select("uri", "xml"), "resources")
+    targets = _held(shred(resources.select(F.xxhash64("uri").alias("doc_id"), "xml")), work)
     for _ in range(MOST_ROUNDS):
+        xml = _held(xml, work)  # read many times below
         found = work.save(includes(xml).where("href IS NOT NULL"), "includes")
         if not found.head(1):
             break
         pieces = found.select("doc_id", "pre", F.substring_index("href", "#", 1).alias("uri"), "parse", F.coalesce("xpointer", F.nullif(F.regexp_extract("href", "#(.*)$", 1), F.lit(""))).alias("pointer"))
-        selected = _selected(resources, pieces.where("parse = 'xml'"), work).withColumnsRenamed({"uri": "s_uri", "pointer": "s_pointer"})
+        selected = _selected(resources, targets, pieces.where("parse = 'xml'"), work).withColumnsRenamed({"uri": "s_uri", "pointer": "s_pointer"})
         as_xml = pieces.where("parse = 'xml'").join(selected, (F.col("uri") == F.col("s_uri")) & F.col("pointer").eqNullSafe(F.col("s_pointer")), "left").select("doc_id", "pre", "text")
         raw = resources.select(F.col("uri").alias("s_uri"), escape_text(F.col("xml")).alias("text"))
         as_text = pieces.where("parse = 'text'").join(raw, F.col("uri") == F.col("s_uri"), "left").select("doc_id", "pre", "text")
