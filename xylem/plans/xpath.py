@@ -45,6 +45,11 @@ class Value:
     column: Column
 
 
+def _base(frame: DataFrame) -> DataFrame:
+    """The context frame without the results that have been joined to it: paths start from it, so that plans grow with the expression only."""
+    return getattr(frame, "_contexts", frame)
+
+
 class Engine:
     """Evaluates expressions over one collection.
 
@@ -100,6 +105,7 @@ class Engine:
 
     def node_set(self, e, ctx: DataFrame, top: bool = False) -> DataFrame:
         """(k, NODE) of the nodes that ``e`` gives in each context, each once."""
+        ctx = _base(ctx)
         if isinstance(e, G.Binary) and e.op == "|":
             return self.node_set(e.left, ctx, top).unionByName(self.node_set(e.right, ctx, top)).dropDuplicates(["k", "doc_id", "pre", "sub"])
         if isinstance(e, G.Variable):
@@ -290,7 +296,9 @@ class Engine:
         """``result`` (k, column) brought to the rows of ``frame``."""
         key, name = self.fresh("k"), self.fresh(column)
         r = result.select(F.col("k").alias(key), F.col(column).alias(name))
-        return frame.join(r, F.col("k") == F.col(key), "left").drop(key), F.coalesce(F.col(name), F.lit(default))
+        out = frame.join(r, F.col("k") == F.col(key), "left").drop(key)
+        out._contexts = _base(frame)
+        return out, F.coalesce(F.col(name), F.lit(default))
 
     # ---- scalars
 
@@ -462,7 +470,7 @@ class Engine:
         marks = self.nodes.where("kind = 'attribute' AND name = 'lang' AND prefix = 'xml'").select("doc_id", F.col("parent_pre").alias("m_pre"), F.col("value").alias("m_lang"))
         owners = self.nodes.where("kind = 'element'").select(F.col("doc_id").alias("o_doc"), F.col("pre").alias("o_pre"), F.col("last").alias("o_last"))
         spans = marks.join(owners, (F.col("doc_id") == F.col("o_doc")) & (F.col("m_pre") == F.col("o_pre"))).select("o_doc", "o_pre", "o_last", "m_lang")
-        near = ctx.select("k", "c_doc", "c_pre").join(spans, (F.col("c_doc") == F.col("o_doc")) & (F.col("c_pre") >= F.col("o_pre")) & (F.col("c_pre") <= F.col("o_last")))
+        near = _base(ctx).select("k", "c_doc", "c_pre").join(spans, (F.col("c_doc") == F.col("o_doc")) & (F.col("c_pre") >= F.col("o_pre")) & (F.col("c_pre") <= F.col("o_last")))
         near = near.groupBy("k").agg(F.max_by("m_lang", "o_pre").alias("near"))
         v = self.string(e, ctx)
         frame, lang = self._attach(v.frame, near, "near", "")
