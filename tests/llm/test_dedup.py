@@ -68,7 +68,9 @@ def test_exact_dedup(spark, digit):
 def test_exact_stage(spark):
     kept = exact_dedup.kept_documents(brute.odd(spark))
     assert kept.columns == brute.odd(spark).columns
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 3, 5, 6, 7, 8, 9, 10, 11, 12] or kept.count() == 12
+    # 8 differs from 1 in white space alone, and null text is equal to empty text
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 3, 5, 6, 7, 9, 10, 11, 12]
+    assert kept.where("doc_id IS NULL").count() == 1
     assert exact_dedup.exact_dedup(brute.empty(spark)).count() == 0
 
 
