@@ -67,6 +67,16 @@ def test_packing(spark, tokenizer):
     assert packing.packed(brute.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("shorts", [400, 60])
+def test_packing_of_a_table_clustered_by_length(spark, shorts):
+    # pieces of 48 tokens, then such of 16 that fill their gaps: each long one needs a sequence, the short ones need none
+    texts = ["the " * 47] * 400 + ["the " * 15] * shorts
+    df = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 8), "doc_id long, text string")
+    got = packing.packed(df, capacity=64, problem=32).toPandas()
+    assert len(got) == len(texts) and got.groupby("sequence_id").length.sum().max() <= 64
+    assert got.sequence_id.nunique() <= 400 * 1.02
+
+
 def test_genetic_packing_reaches_the_bound():
     rng = np.random.default_rng(1)
     lengths = rng.integers(50, 2000, 400).tolist()

@@ -4,8 +4,8 @@ Texts become pieces of at most CAPACITY tokens; only their lengths matter from t
 settled. The others fall into problems of bounded size, each evolved on ISLANDS islands at once. Individuals are whole
 packings. Crossover injects well-filled bins of one parent whole into the other, drops the bins there that hold an injected
 piece again, and best-fits the pieces so displaced; mutation breaks up badly filled bins. After each epoch an island's elite
-moves to the next island. What is left in badly filled bins of all problems is packed again in a next level, until
-one problem holds the rest.
+moves to the next island. Every level deals its pieces to problems by hash. What is left in badly filled bins of all problems is
+packed again in a next level, until one problem holds the rest, a level saves no bin or no packing of the rest can have fewer.
 """
 
 from __future__ import annotations
@@ -188,7 +188,7 @@ def _problems(size: int, level: int):
         def close():
             nonlocal held, n, k
             t = pa.Table.from_batches(held).combine_chunks()
-            problem = (level << 44) | (part << 20) | k
+            problem = (level << 40) | (part << 12) | k
             lists = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), t.column(c).combine_chunks() if t.column(c).num_chunks != 1 else t.column(c).chunk(0)) for c in names]
             held, n, k = [], 0, k + 1
             return pa.record_batch([pa.array([problem], pa.int64()), *lists], names=["problem", *names])
@@ -266,15 +266,13 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
     pieces = work.save(docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer or tokenizer_path(), capacity), _PIECE), "pieces")
     full = pieces.where(F.col("length") >= capacity).select(*names, F.lit(0).cast("long").alias("offset"), F.monotonically_increasing_id().alias("k"))
     settled = [full.select(*names, (F.lit(-1).cast("long") - F.col("k")).alias("sequence_id"), "offset")]
-    rest, level = pieces.where(F.col("length") < capacity), 0
+    rest, level, held, bins = pieces.where(F.col("length") < capacity).select(*names), 0, None, 0
+    n = rest.count()
     lists = "doc_id array<long>, piece array<int>, start array<long>, length array<long>, ids_crc32 array<long>"
     while True:
-        n = rest.count()
         last = n <= problem
-        if last:
-            rest = rest.coalesce(1)
-        elif level:
-            rest = rest.repartition(-(-n // (problem * 8)))
+        # dealt in turn and ordered by hash: which pieces meet does not follow the order of files
+        rest = rest.coalesce(1) if last else rest.repartition(-(-n // (problem * 8))).sortWithinPartitions(F.xxhash64(*names, F.lit(level)))
         problems = work.save(rest.mapInArrow(_problems(problem, level), f"problem long, {lists}"), f"problems{level}")
         state = problems.select("problem", F.col("length").cast("array<int>").alias("lengths")).withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(islands)])))
         state = state.withColumn("population", F.lit(None).cast("array<array<int>>")).withColumn("migrant", F.lit(None).cast("array<int>"))
@@ -287,12 +285,17 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
         best = state.groupBy("problem").agg(F.min_by("elite", F.struct("bins", -F.col("fill"), "island")).alias("elite"))
         placed = problems.join(best, "problem").mapInArrow(_placed(capacity, int(WELL_FILLED * capacity)), f"{_PIECE}, sequence_id long, offset long, kept boolean")
         placed = work.save(placed, f"placed{level}")
-        rest = placed.where("NOT kept").select(*names)
-        if last or rest.count() > 0.9 * n:  # no better mates to be found above: the bins stay as they are
+        first, poor = F.col("offset") == 0, ~F.col("kept")
+        total, left, n, size = placed.agg(F.count(F.when(first, 1)), F.count(F.when(first & poor, 1)), F.count(F.when(poor, 1)), F.coalesce(F.sum(F.when(poor, F.col("length"))), F.lit(0))).first()
+        if held is not None and total >= bins:  # new mates saved no bin: the bins of the level before stay
+            settled.append(held)
+            break
+        if last or left <= -(-size // capacity):  # one problem held all, or no packing of the rest has fewer bins
             settled.append(placed.drop("kept"))
             break
         settled.append(placed.where("kept").drop("kept"))
-        level += 1
+        held, bins = placed.where("NOT kept").drop("kept"), left
+        rest, level = held.select(*names), level + 1
     out = settled[0]
     for more in settled[1:]:
         out = out.union(more)
