@@ -152,6 +152,16 @@ def test_crf_finds_what_patterns_miss(spark):
     assert [(d, bytes(raw[a:b])) for d, a, b in secrets.tagged(raw, offs, model)] == [(0, b"wJalrXUtnFEMIK7MDENGbPxRfiCYzEXAMPLEKEY77")]
 
 
+def test_secrets_go_on_past_the_patterns(monkeypatch):
+    # the pattern ends at the sign, the field's span goes on
+    text = "the password=Tr0ub4dor&x9Kq2Lm7Zt and wJalrXUtnF"
+    a, b, c = text.index("Tr0"), text.index("&"), text.index(" and")
+    monkeypatch.setattr(secrets, "tagged", lambda raw, offs, model: [(0, a, c), (0, c + 5, len(text))])
+    rows_in = pa.record_batch([pa.array([1]), pa.array([text])], names=["doc_id", "text"])
+    spans = next(secrets._scan({})(iter([rows_in]))).column("spans")[0].as_py()
+    assert spans == f"assign:4:{b},crf:{b}:{c},crf:{c + 5}:{len(text)}"
+
+
 def test_viterbi_is_best_of_all():
     import itertools
 

@@ -308,6 +308,17 @@ def tagged(raw: np.ndarray, offs: np.ndarray, model: dict) -> list[tuple[int, in
     return out
 
 
+def outside(x: int, y: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of x to y that lie outside the ``base`` spans, which are in order of their starts."""
+    out = []
+    for a, _, b in base:
+        if a < y and x < b:
+            if x < a:
+                out.append((x, a))
+            x = b
+    return [*out, (x, y)] if x < y else out
+
+
 def _scan(model: dict):
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
 
@@ -328,8 +339,7 @@ def _scan(model: dict):
                         for a, b in more[d]:
                             x = len(data[:a].decode("utf-8", "ignore"))
                             y = x + len(data[a:b].decode("utf-8", "ignore"))
-                            if not any(p < y and x < q for p, _, q in base):
-                                spans.append((x, 3, y))
+                            spans += [(p, 3, q) for p, q in outside(x, y, base)]
                         spans.sort()
                     rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
                 columns = list(zip(*rows))
@@ -342,7 +352,8 @@ def _scan(model: dict):
 def scan(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) per row of ``docs`` (doc_id, text).
 
-    Null text is empty; a document without spans has an empty string. A span that the field adds never overlaps a pattern's.
+    Null text is empty; a document without spans has an empty string. Of a span that the field
+    tags, the parts outside the patterns' spans are added: what is added never overlaps a pattern's.
     Repeated rows are scanned each. An empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
