@@ -152,6 +152,17 @@ def test_crf_finds_what_patterns_miss(spark):
     assert [(d, bytes(raw[a:b])) for d, a, b in secrets.tagged(raw, offs, model)] == [(0, b"wJalrXUtnFEMIK7MDENGbPxRfiCYzEXAMPLEKEY77")]
 
 
+def test_training_reads_whole_texts_and_draws_chunks_by_hash():
+    late = "é word " * 40_000 + "my token = " + "0123456789abcdef" * 2
+    x, y, mask = secrets.examples([late])  # this text is not one of those that get a made-up secret
+    assert (y == 1).sum() == 1 and (y == 2).sum() == 0
+    # 3000 chunks with secrets, those of the second half with digits in their words
+    many = " ".join(f"token = {i:032x}" + (" word" if i < 1500 else " w0rd") * 45 for i in range(3000))
+    x, y, mask = secrets.examples([many])
+    digits = x[y.any(1)][:, 10, secrets.FEATURES.index("has_digit")]
+    assert len(digits) == 1500 and 600 < digits.sum() < 900
+
+
 def test_secrets_go_on_past_the_patterns(monkeypatch):
     # the pattern ends at the sign, the field's span goes on
     text = "the password=Tr0ub4dor&x9Kq2Lm7Zt and wJalrXUtnF"

@@ -10,6 +10,7 @@ need the recursion.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import random
 import re
@@ -30,6 +31,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 _HINTS = ("pass", "secret", "token", "api")
 #: Documents that the field is trained on at most, chosen by the hash of their ids; of them, those that get a made-up secret.
 TRAIN_DOCS, PLANTED_SHARE = 1500, 0.3
+#: Chunks of their tokens that it is trained on at most, with secrets and without, chosen by hash from the whole texts.
+TRAIN_CHUNKS, TRAIN_PLAIN = 1500, 2500
 SEED = 5
 #: Words that name secrets, for the feature of neighbouring words (fixed values).
 NAMES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "access_key", "auth", "credential", "private_key", "client_secret", "bearer")
@@ -208,15 +211,23 @@ def planted(text: str, rng: random.Random) -> tuple[str, tuple[int, int]]:
     return head + value + quote + text[at:], (len(head), len(head) + len(value))
 
 
-def examples(texts: list[str], T: int = 48, plain_per_secret: int = 6):
-    """Chunks of T tokens as (x, y, mask): all with secrets and some without."""
+def _chunk_hashes(text: str, n: int) -> np.ndarray:
+    """Hashes of a text's ``n`` chunks."""
+    start = np.frombuffer(hashlib.blake2b(text.encode(), digest_size=8).digest(), np.uint64)
+    z = start + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def examples(texts, T: int = 48, plain_per_secret: int = 6, most: int = TRAIN_CHUNKS, most_plain: int = TRAIN_PLAIN):
+    """Chunks of T tokens as (x, y, mask): of those with secrets and those without, the ``most`` and ``most_plain`` with the smallest hashes."""
     rng = random.Random(SEED)
-    with_, without = [], []
+    with_, without, n_with, number = [], [], 0, 0
     for text in texts:
         if not text:
             continue
-        text = text[:200_000]
-        spans = values(text)
+        hashed, spans = text, values(text)
         if rng.random() < PLANTED_SHARE:
             text, span = planted(text, rng)
             spans = [*values(text), span]
@@ -225,19 +236,26 @@ def examples(texts: list[str], T: int = 48, plain_per_secret: int = 6):
         columns, starts, ends, _ = features(raw, offs)
         if not len(starts):
             continue
-        x = np.stack([columns[f] for f in FEATURES], 1)
+        at = np.r_[np.flatnonzero((raw & 0xC0) != 0x80), len(raw)]  # where each character begins
         y = np.zeros(len(starts), np.int64)
         for a, b in sorted(spans, key=lambda s: s[1] - s[0]):
-            a, b = len(text[:a].encode()), len(text[:b].encode())
-            inside = np.flatnonzero((starts < b) & (ends > a))
-            if len(inside):
-                y[inside] = 2
-                y[inside[0]] = 1
-        for k in range(0, len(y), T):
-            part = (x[k : k + T], y[k : k + T])
-            (with_ if part[1].any() else without).append(part)
-    rng.shuffle(without)
-    chunks = with_[:1500] + without[: min(2500, max(200, plain_per_secret * len(with_)))]
+            i, j = np.searchsorted(ends, at[a], "right"), np.searchsorted(starts, at[b], "left")
+            if i < j:
+                y[i:j] = 2
+                y[i] = 1
+        cuts = np.arange(0, len(y), T)
+        secret = np.logical_or.reduceat(y > 0, cuts)
+        n_with += int(secret.sum())
+        hashes = _chunk_hashes(hashed, len(cuts)).tolist()
+        for k, h in enumerate(hashes):
+            pool, bound = (with_, most) if secret[k] else (without, most_plain)
+            if len(pool) < bound or pool and h < -pool[0][0]:
+                part = slice(cuts[k], cuts[k] + T)
+                number += 1
+                chunk = (-h, number, np.stack([columns[f][part] for f in FEATURES], 1), y[part].copy())
+                (heapq.heappush if len(pool) < bound else heapq.heapreplace)(pool, chunk)
+    with_, without = ([c[2:] for c in sorted(pool, key=lambda c: (-c[0], c[1]))] for pool in (with_, without))
+    chunks = with_ + without[: max(200, plain_per_secret * n_with)]
     x, y, mask = np.zeros((len(chunks), T, len(FEATURES))), np.zeros((len(chunks), T), np.int64), np.zeros((len(chunks), T), bool)
     for i, (cx, cy) in enumerate(chunks):
         x[i, : len(cy)], y[i, : len(cy)], mask[i, : len(cy)] = cx, cy, True
@@ -248,15 +266,18 @@ def examples(texts: list[str], T: int = 48, plain_per_secret: int = 6):
 _NOTHING = {"w": [[5.0, -5.0, -5.0], *[[0.0] * 3] * (len(FEATURES) - 1)], "a": [[0.0] * 3] * 3}
 
 
-def _fit(frames):
-    x, y, mask = examples([t for f in frames for t in f["text"]])
-    yield pd.DataFrame({"model": [json.dumps(train(x, y, mask) if len(x) else _NOTHING)]})
+def _fit(most: int, most_plain: int):
+    def run(frames):
+        x, y, mask = examples((t for f in frames for t in f["text"]), most=most, most_plain=most_plain)
+        yield pd.DataFrame({"model": [json.dumps(train(x, y, mask) if len(x) else _NOTHING)]})
+
+    return run
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
-    """The field's weights, trained in one task on ``train_docs`` documents at most; only weights come to the driver."""
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, most: int = TRAIN_CHUNKS, most_plain: int = TRAIN_PLAIN) -> dict:
+    """The field's weights, trained in one task on ``train_docs`` documents at most and, of their chunks, ``most`` with secrets and ``most_plain`` without; only weights come to the driver."""
     sample = bounded_sample(docs, train_docs, "doc_id", seed=SEED)
-    return json.loads(sample.select("text").coalesce(1).mapInPandas(_fit, "model string").first()["model"])
+    return json.loads(sample.select("text").coalesce(1).mapInPandas(_fit(most, most_plain), "model string").first()["model"])
 
 
 # ---- decoding
