@@ -200,6 +200,15 @@ def test_toxicity_held_out(spark):
     assert (held.predicted == held.toxic).mean() > 0.97
 
 
+def test_toxicity_clean_rows_only_set_the_threshold():
+    rng = np.random.default_rng(8)
+    text = lambda bad: np.r_[rng.choice(300, 40, False), 1000 + rng.choice(5, 2, False) if bad else []].astype(np.uint64)
+    rows_ = [text(True) for _ in range(100)] + [text(i % 10 == 0) for i in range(400)] + [text(False) for _ in range(300)]
+    roles = np.repeat([1, -1, 0], [100, 400, 300])
+    some, every = toxicity.train(roles[:500], rows_[:500], 0.1), toxicity.train(roles, rows_, 0.1)
+    assert len(some["keys"]) and some["keys"].tolist() == every["keys"].tolist() and np.allclose(some["w"], every["w"])
+
+
 def test_toxicity_odd(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.judged(brute.odd(spark), none).collect()

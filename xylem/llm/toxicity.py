@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled (nnPU) learning.
 
-Confirmed toxic documents are the positives; all other text is unlabelled, toxic documents among it. With the class prior p, the risk of
+Confirmed toxic documents are the positives; a sample of all text is unlabelled, toxic documents among it. With the class prior p, the risk of
 a linear scorer is p R+(P) + max(0, R-(U) - p R-(P)): the unlabelled risk is corrected for the positives that it holds, and
 never goes below nothing, which would mean overfitting. Features are the distinct words (runs of letters) of a text and their beginnings, kept by
 full 64-bit hash, so that no unseen word shares a weight by chance. Training is numpy in one task on a bounded sample; the scorer is
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from xylem.llm.sampling import bounded_sample
 from xylem.llm.text import LOWER, flat, slices, span_hashes, word_bounds
 
-#: Bounds of the training sample: confirmed toxic, confirmed clean (these only set the threshold) and unlabelled documents, the first by the hash of their ids.
+#: Bounds of the training sample: confirmed toxic, confirmed clean (these only set the threshold) and unlabelled documents (drawn from all), the first by the hash of their ids.
 MAX_POSITIVE, MAX_CLEAN, MAX_UNLABELLED = 3000, 3000, 5000
 #: Beginnings of words, in bytes, that are features besides whole words; documents of the sample that a feature must occur in.
 PREFIXES, LEAST_DOCS = (5, 6, 7, 9), 3
@@ -61,7 +61,7 @@ def word_features(column: pa.Array):
 
 
 def _sample_features(batches):
-    """(role, sorted distinct feature hashes) of each document."""
+    """(role, drawn, sorted distinct feature hashes) of each document."""
     for batch in batches:
         for s in slices(batch):
             h, doc, word, docs = word_features(s.column("text"))
@@ -71,12 +71,15 @@ def _sample_features(batches):
             for d in range(docs):
                 mine = h[:, word[order[cuts[d] : cuts[d + 1]]]].ravel()
                 out.append(np.ascontiguousarray(mine[mine != 0]).tobytes())
-            yield pa.record_batch([s.column("role"), pa.array(out, pa.binary())], names=["role", "features"])
+            yield pa.record_batch([s.column("role"), s.column("drawn"), pa.array(out, pa.binary())], names=["role", "drawn", "features"])
 
 
-def train(roles: np.ndarray, rows: list[np.ndarray], prior: float, rounds: int = 200, rate: float = 0.05, l1: float = 2e-5) -> dict:
-    """``roles``: 1 positive, 0 clean, -1 unlabelled; ``rows``: feature hashes, counted as often as they occur; ``prior``: the share of toxic text."""
-    positive, unlabelled = roles == 1, roles != 1
+def train(roles: np.ndarray, rows: list[np.ndarray], prior: float, rounds: int = 200, rate: float = 0.05, l1: float = 2e-5, drawn: np.ndarray | None = None) -> dict:
+    """``roles``: 1 positive, 0 clean, -1 unlabelled; ``rows``: feature hashes, counted as often as they occur; ``prior``: the share of toxic text.
+
+    ``drawn`` flags the unlabelled set, which stands for all text: labels do not take a document out of it. Without it, the set is role -1.
+    """
+    positive, unlabelled = roles == 1, roles == -1 if drawn is None else drawn
     nothing = {"keys": np.zeros(0, np.uint64), "w": np.zeros(0), "b": -3.0}
     if not positive.any() or not unlabelled.any():
         return nothing
@@ -108,10 +111,10 @@ def train(roles: np.ndarray, rows: list[np.ndarray], prior: float, rounds: int =
         g = np.zeros(len(rows))
         if negative >= 0:
             g[positive] = -prior / positive.sum()  # of p R+ - p R-: the sigmoids cancel
-            g[unlabelled] = s[unlabelled] / unlabelled.sum()
+            g[unlabelled] += s[unlabelled] / unlabelled.sum()
         else:  # step back where the corrected risk is negative
             g[positive] = prior * s[positive] / positive.sum()
-            g[unlabelled] = -s[unlabelled] / unlabelled.sum()
+            g[unlabelled] -= s[unlabelled] / unlabelled.sum()
         grad = np.r_[np.bincount(at, g[doc], len(keys)), g.sum()]
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
@@ -135,8 +138,8 @@ def train(roles: np.ndarray, rows: list[np.ndarray], prior: float, rounds: int =
 
 def _fit(prior: float):
     def run(frames):
-        held = [(r, np.frombuffer(x, np.uint64)) for f in frames for r, x in zip(f["role"], f["features"])]
-        model = train(np.array([r for r, _ in held]), [x for _, x in held], prior)
+        held = [(r, d, np.frombuffer(x, np.uint64)) for f in frames for r, d, x in zip(f["role"], f["drawn"], f["features"])]
+        model = train(np.array([r for r, _, _ in held]), [x for _, _, x in held], prior, drawn=np.array([d for _, d, _ in held], bool))
         out = io.BytesIO()
         np.savez(out, **model)
         yield pd.DataFrame({"model": [base64.b64encode(out.getvalue()).decode()]})
@@ -152,11 +155,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     prior = min(max(share if share is not None else 0.1, 0.01), 0.5)
     positive, clean = known.where("toxic = 1"), known.where("toxic = 0")
     others = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
-    roles = pick(positive, MAX_POSITIVE).withColumn("role", F.lit(1)).union(pick(clean, MAX_CLEAN).withColumn("role", F.lit(0))).union(pick(others, MAX_UNLABELLED).withColumn("role", F.lit(-1)))
+    role = lambda df, n, r: pick(df, n).select("doc_id", F.lit(r).alias("role"), F.lit(r == -1).alias("drawn"))
+    # the unlabelled set is drawn from all documents, so that the prior's share of it is toxic; those of them that are also confirmed have both parts
+    roles = role(positive, MAX_POSITIVE, 1).union(role(clean, MAX_CLEAN, 0)).union(role(others, MAX_UNLABELLED, -1))
     # at most MAX_POSITIVE + MAX_CLEAN + MAX_UNLABELLED ids of 8 bytes: this side may always be broadcast
-    roles = roles.groupBy("doc_id").agg(F.max("role").alias("role")).withColumnRenamed("doc_id", "of")
-    sample = docs.join(F.broadcast(roles), F.col("doc_id") == F.col("of")).select("role", "text")
-    rows = sample.mapInArrow(_sample_features, "role int, features binary").repartition(1).mapInPandas(_fit(prior), "model string").first()
+    roles = roles.groupBy("doc_id").agg(F.max("role").alias("role"), F.max("drawn").alias("drawn")).withColumnRenamed("doc_id", "of")
+    sample = docs.join(F.broadcast(roles), F.col("doc_id") == F.col("of")).select("role", "drawn", "text")
+    rows = sample.mapInArrow(_sample_features, "role int, drawn boolean, features binary").repartition(1).mapInPandas(_fit(prior), "model string").first()
     with np.load(io.BytesIO(base64.b64decode(rows["model"]))) as z:
         return {k: z[k] for k in z.files}
 
