@@ -48,6 +48,14 @@ def test_near_stage_keeps_one_of_each(spark):
     assert near_dedup.verdicts(brute.empty(spark)).count() == 0
 
 
+def test_near_stage_keeps_one_of_rows_that_repeat_an_id(spark):
+    words = [f"w{i}" for i in range(100)]
+    other = [f"v{i}" for i in range(50)]
+    data = [(1, " ".join(words)), (1, " ".join([*words[:-1], "x"])), (1, " ".join([*words, "y"])), (2, " ".join(["z", *words])), (1, " ".join(other))]
+    kept = rows(near_dedup.kept_documents(spark.createDataFrame(data, "doc_id long, text string")))
+    assert len(kept) == 2 and data[4] in kept and set(kept) <= {data[i] for i in (0, 1, 2, 4)}
+
+
 @pytest.mark.parametrize("digit", [1, 48])
 def test_exact_dedup(spark, digit):
     data = [(d, t) for d, t, *_ in brute.ODD] + [(20, "same " * 2000), (21, "same\n" * 2000), (22, "same " * 2000 + "x")]

@@ -240,7 +240,7 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
 
 
 def grouped(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
-    """The columns of ``docs`` but text, with n_shingles, component_id and unit, one row per row of ``docs`` (doc_id, text, ...).
+    """The columns of ``docs`` but text, with n_shingles, component_id, unit and group (null without words), one row per row of ``docs`` (doc_id, text, ...).
 
     Texts without words are linked with nothing, each
     other included; their unit is empty. Null ids sort last and are not an id: a component of null ids alone has a null
@@ -282,7 +282,7 @@ def grouped(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     full = rows.drop("bands").join(linked, F.col("unit") == F.col("node"), "left").withColumn("group", F.when(F.col("n_shingles") > 0, F.coalesce("root", "unit"))).drop("node", "root")
     least = units.select("unit", "doc_id").join(linked, F.col("unit") == F.col("node"), "left").groupBy(F.coalesce("root", "unit").alias("g")).agg(F.min("doc_id").alias("component_id"))
     out = full.join(least, F.col("group") == F.col("g"), "left")
-    return out.select(*rest, "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "unit")
+    return out.select(*rest, "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "unit", "group")
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
@@ -294,6 +294,6 @@ def kept_documents(docs: DataFrame, how: Settings = FIVE_WORDS) -> DataFrame:
     """One row of ``docs`` for each group, and every row without words, with all columns of ``docs``."""
     named = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("h"), "text")
     good = grouped(named.drop("row"), how).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # of rows that repeat a doc_id with different words, all are their own units; with equal words, one text stays
-    good = good.groupBy(F.col("doc_id").alias("d"), "unit").agg(F.min("h").alias("t")).select("d", "t").distinct()
+    # of a group's rows that repeat its smallest doc_id, the smallest unit stays; of equal words, one text
+    good = good.groupBy(F.col("doc_id").alias("d"), "group").agg(F.min(F.struct("unit", "h"))["h"].alias("t")).select("d", "t").distinct()
     return named.drop("text").join(good, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("t")), "left_semi").select("row.*")
