@@ -243,3 +243,25 @@ def test_warc_salvage(packed):
     assert [h["warc-record-id"] for _, _, h, _, _ in out if h] == [f"<urn:page:{i}>" for i in (0, 1, 3, 4)]
     covered = sorted({(a, b) for a, b, *_ in out})
     assert covered[0][0] == 0 and covered[-1][1] == len(data) and all(x[1] == y[0] for x, y in zip(covered, covered[1:]))
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_warc_salvage_inside_a_member(level):
+    rng = np.random.default_rng(9)
+    records = [warc.record(i, "u", "0", 20_000, rng.bytes(20_000)) for i in range(6)]
+    broken = bytearray(records[2])
+    broken[len(broken) // 2] ^= 0xFF
+    ids = lambda data: [int(h["warc-record-id"][10:-1]) for _, _, h, _, _ in warc.salvage(data) if h]
+    gaps = lambda data: [e for _, _, h, _, e in warc.salvage(data) if h is None]
+    tail = warc.member(warc.record(6, "u", "0", 4, b"tail"))
+    # a damaged record in a whole member
+    data = warc.member(b"".join([*records[:2], bytes(broken), *records[3:]]), level) + tail
+    assert ids(data) == [0, 1, 3, 4, 5, 6] and len(gaps(data)) == 1
+    # a member that fails its check sum, and one that is cut short
+    whole = warc.member(b"".join(records), level)
+    data = whole[:-8] + bytes([whole[-8] ^ 1]) + whole[-7:]
+    assert ids(data + tail) == [0, 1, 2, 3, 4, 5, 6] and gaps(data)
+    data = whole[: len(whole) * 7 // 12]
+    assert ids(data) == [0, 1, 2] and ids(data + tail) == [0, 1, 2, 6]
+    covered = sorted({(a, b) for a, b, *_ in warc.salvage(data + tail)})
+    assert covered[0][0] == 0 and covered[-1][1] == len(data + tail) and all(x[1] == y[0] for x, y in zip(covered, covered[1:]))

@@ -3,11 +3,13 @@
 Writing goes through Spark's text sink, whose task commit keeps files whole when an executor is lost; the separator that it puts after
 each row is itself an empty gzip member, so files are plain ``.warc.gz`` to any reader. Reading checks every record (gzip's own
 check sum, header, length, closing blank lines, block digest). After a failed check it looks for the next place where a valid
-member or, in uncompressed files, a version line begins, goes on there, and logs the bytes between as a quarantined gap.
+member or, in uncompressed files, a version line begins, goes on there, and logs the bytes between as a quarantined gap. Records of one
+member are searched for by version lines in what it unpacks to, as far as it does.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -29,7 +31,7 @@ VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 GZIP = b"\x1f\x8b\x08"
 #: A gzip member without content, as Latin-1 text.
 _EMPTY = "\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
-_MOST = 1 << 30  # bytes that one member may unpack to
+_MOST = 1 << 30  # bytes that a member is unpacked to at most: records beyond are quarantined
 _STEP = 1 << 13  # bytes of a member unpacked at a time
 
 
@@ -87,9 +89,9 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, bytes, int]:
     return headers, block, start + size + 4
 
 
-def unpack(data: bytes, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at ``at`` and where it ends."""
-    unzip, parts, size = zlib.decompressobj(31), [], 0
+def unpack(data: bytes, at: int) -> tuple[bytes, int, str, bool]:
+    """What the gzip member at ``at`` unpacks to, where it ends or fails, the reason of a failure and whether a check failed, so that what was unpacked can be wrong."""
+    unzip, parts, size, begin = zlib.decompressobj(31), [], 0, at
     try:
         # by small steps: what follows a member is never copied as a whole
         while not unzip.eof and at < len(data) and size <= _MOST:
@@ -98,43 +100,100 @@ def unpack(data: bytes, at: int) -> tuple[bytes, int]:
             size += len(parts[-1])
             at += len(step)
     except zlib.error as e:
-        raise Damage(f"gzip: {e}") from None
-    if not unzip.eof:
-        raise Damage("gzip: the member is cut short or too large")
-    return b"".join(parts), at - len(unzip.unused_data)
+        reason = f"gzip: {e}"
+        # the failed step's content is lost: it is unpacked again, byte by byte
+        unzip = zlib.decompressobj(31)
+        try:
+            for k in range(begin, at, _STEP):
+                unzip.decompress(data[k : k + _STEP])
+            for at in range(at, min(at + _STEP, len(data))):  # noqa: B020
+                parts.append(unzip.decompress(data[at : at + 1]))
+        except zlib.error:
+            pass
+        return b"".join(parts), at, reason, True
+    reason = "" if unzip.eof else "gzip: the member is cut short" if size <= _MOST else "gzip: the member is too large"
+    return b"".join(parts), at - len(unzip.unused_data), reason, False
 
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, bytes, str]]:
-    """(start, end, headers, block, "") of each good record, and (start, end, None, b"", reason) of each quarantined gap."""
-    at, gap, reason = 0, None, ""
-    while at < len(data):
-        packed, found = data.startswith(GZIP, at), []
+def _consumed(data: bytes, at: int, size: int) -> int:
+    """Up to where the member at ``at`` is read when its first ``size`` bytes are unpacked; more follow these."""
+    unzip = zlib.decompressobj(31)
+    while size > 0:
+        step = data[at : at + _STEP]
+        size -= len(unzip.decompress(step, size))
+        at += len(step) - len(unzip.unconsumed_tail)
+    return at
+
+
+def _proven(headers: dict, block: bytes) -> bool:
+    """Whether a digest shows that the block is whole; parse() has compared those of SHA-256."""
+    kind, _, digest = headers.get("warc-block-digest", "").partition(":")
+    sha1 = hashlib.sha1(block)
+    return kind == "sha256" or kind == "sha1" and digest.lower() in (sha1.hexdigest(), base64.b32encode(sha1.digest()).decode().lower())
+
+
+def _inside(content: bytes, doubtful: bool) -> list[tuple[int, int, dict | None, bytes, str]]:
+    """As salvage(), over the content of one member; of ``doubtful`` content only records that a digest proves are good."""
+    out, at, gap, reason = [], 0, None, ""
+    while at < len(content):
         try:
-            if packed:
-                end, inner = None, 0
-                content, end = unpack(data, at)
-                while inner < len(content):
-                    headers, block, inner = parse(content, inner)
-                    found.append((headers, block))
-            else:
-                headers, block, end = parse(data, at)
-                found = [(headers, block)]
+            headers, block, end = parse(content, at)
+            if doubtful and not _proven(headers, block):
+                raise Damage("no digest proves this record of a damaged member")
         except Damage as e:
             if gap is None:
                 gap, reason = at, str(e)
-            for headers, block in found:  # records before the damage in one member are whole
-                yield at, end or at, headers, block, ""
-            line = VERSION.search(data, at + 1)
-            nexts = [data.find(GZIP, at + 1), line.start() if line else -1]
-            at = min((x for x in nexts if x > 0), default=len(data))
+            line = VERSION.search(content, at + 1)
+            at = line.start() if line else len(content)
             continue
         if gap is not None:
-            yield gap, at, None, b"", reason
+            out.append((gap, at, None, b"", reason))
             gap = None
-        for headers, block in found:
-            yield at, end, headers, block, ""
+        out.append((at, end, headers, block, ""))
         at = end
-    if gap is not None:
+    return out if gap is None else [*out, (gap, at, None, b"", reason)]
+
+
+def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, bytes, str]]:
+    """(start, end, headers, block, "") of each good record, and (start, end, None, b"", reason) of each quarantined gap.
+
+    Bytes are those of the file: records and gaps inside one member have the member's start and end (where it fails, the end of what its
+    records needed), and such gaps tell their place in the content.
+    """
+    at, gap, reason = 0, None, ""
+    while at < len(data):
+        end, why, found = None, "", []
+        if data.startswith(GZIP, at):
+            content, end, why, doubtful = unpack(data, at)
+            found = _inside(content, doubtful)
+            good = max((b for _, b, headers, _, _ in found if headers is not None), default=0)
+            if why and good:
+                # go on behind what the good records needed
+                end = end if good == len(content) else _consumed(data, at, good)
+            elif not good and (why or found):
+                end, why = None, why or found[0][4]
+        else:
+            try:
+                headers, block, end = parse(data, at)
+                found = [(at, end, headers, block, "")]
+            except Damage as e:
+                why = str(e)
+        if end is not None:
+            if gap is not None:
+                yield gap, at, None, b"", reason
+                gap = None
+            for a, b, headers, block, error in found:
+                yield at, end, headers, block, error and f"{error} (bytes {a} to {b} of the member's content)"
+            if not why:
+                at = end
+                continue
+        if gap is None:
+            gap, reason = at if end is None else end, why
+        start = max(at + 1, end or 0)
+        line = VERSION.search(data, start)
+        nexts = [data.find(GZIP, start), line.start() if line else -1]
+        at = min((x for x in nexts if x > 0), default=len(data))
+    if gap is not None and gap < len(data):
         yield gap, len(data), None, b"", reason
 
 
