@@ -1,4 +1,5 @@
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -31,6 +32,34 @@ def test_tokens_equal_the_librarys(tokenizer):
         assert [got[a:b].tolist() for a, b in zip(offs, offs[1:])] == [ids_of(tokenizer, t) for t in part]
 
 
+def test_tokens_of_single_and_odd_characters_equal_the_librarys(tokenizer):
+    rng = random.Random(1)
+    signs = [*map(chr, range(0x250)), *"Σσςﬁ½²٣नमに本語é́\x85\u2028\u3000\ufeff\U0001f600\U00010597Ⓐǅ", "'s", "'ll", "don't", " ", "\n"]
+    texts = [*map(chr, range(0x250)), *("".join(rng.choice(signs) for _ in range(rng.randrange(1, 12))) for _ in range(3000))]
+    for part in (texts, [t + "<|" for t in texts]):
+        got, offs = tokens.Encoder.of(tokens.tokenizer_path()).encode(pa.array(part))
+        assert [got[a:b].tolist() for a, b in zip(offs, offs[1:])] == [ids_of(tokenizer, t) for t in part]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = tokens.tokenizer_path("byte_bpe_50k.json")
+    encoder, library = tokens.Encoder(path), Tokenizer.from_file(path)
+    texts = ["Two words,  THEN more\n\x00", None, "", "é日本語"]
+    got, offs = encoder.encode(pa.array(texts))
+    assert not encoder.by_pieces and [got[a:b].tolist() for a, b in zip(offs, offs[1:])] == [ids_of(library, t) for t in texts]
+
+
+def test_tokens_past_the_cache_and_of_very_long_texts(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 50)
+    encoder = tokens.Encoder(tokens.tokenizer_path())
+    long = " ".join(f"w{i}é x" for i in range(200_000))
+    for part in ([f"word{chr(97 + i)}{chr(97 + j)}" for i in range(9) for j in range(9)], [long, "a b"], ["a b", "\x00"]):
+        got, offs = encoder.encode(pa.array(part))
+        assert [got[a:b].tolist() for a, b in zip(offs, offs[1:])] == [ids_of(tokenizer, t) for t in part]
+
+
 def test_wavelet_round_trip(spark, tokenizer):
     data = sorted(((d, t) for d, t, *_ in brute.ODD), key=lambda r: (r[0] is not None, r[0] or 0))
     got = wavelet.round_trip(brute.odd(spark)).collect()
@@ -56,6 +85,15 @@ def test_wavelet_access_rank_select():
             assert w.select(token, len(at) // 2) == at[len(at) // 2]
 
 
+def test_wavelet_of_wide_ids():
+    for ids in (np.array([0, 70_000, 2**31 - 1, 5, 70_000]), np.array([0, 0]), np.array([], np.int64)):
+        w = next(wavelet.shards(wavelet.build(ids, [1], np.array([len(ids)]), 0, 0)))
+        assert w.decode().tolist() == ids.tolist() == [w.access(i) for i in range(len(ids))]
+        assert w.count(70_000) == (ids == 70_000).sum() and w.count(2**31) == 0
+    with pytest.raises(ValueError):
+        wavelet.build(np.array([1 << 32]), [1], np.array([1]), 0, 0)
+
+
 def test_packing(spark, tokenizer):
     df = brute.odd(spark)
     got = packing.packed(df, capacity=64).toPandas()

@@ -1,12 +1,14 @@
 """Token ids of whole texts with a public tokenizer, encoding each distinct piece of a text once.
 
-The tokenizer drops white space and never lets a token cross it, so a text's ids are those of its words end to end. Words are
-cut further where its pre-tokenizer cuts for certain: between ASCII letters, digits and other signs. Pieces are told apart by
-a 64-bit hash; the library encodes each new one, and ids are gathered by array operations.
+A tokenizer with the NORMALIZER and PRE_TOKENIZER below drops white space and never lets a token cross it, so a text's ids are those of
+its words end to end. Words are cut further where its pre-tokenizer cuts for certain: between ASCII letters, digits and other signs.
+Pieces are told apart by a 64-bit hash; the library encodes each new one, and ids are gathered by array operations. Any other tokenizer
+file has the library encode whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import zlib
@@ -36,6 +38,17 @@ _CUT[0], _CUT[:, 0] = True, True
 _CUT = _CUT.ravel()
 
 
+#: What pieces rely on (fixed values): the parts of a tokenizer file that cut and change texts before its model.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -65,6 +78,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        parts = json.loads(self.tokenizer.to_str())
+        marks = [t["content"] for t in parts["added_tokens"]]
+        #: Whether ids of pieces end to end are those of the text.
+        self.by_pieces = parts["normalizer"] == NORMALIZER and parts["pre_tokenizer"] == PRE_TOKENIZER and parts["model"]["type"] == "BPE" and parts["truncation"] is None and all(m.startswith("<|") for m in marks)
         self.chars = byte_chars()
         self._clear()
 
@@ -78,9 +95,9 @@ class Encoder:
         model, chars = self.tokenizer.model, self.chars
         ids, other = [None] * len(pieces), []
         for i, p in enumerate(pieces):
-            if p.isascii() and p.isalpha() or len(p) == 1 and p.isascii():
+            if p.isascii() and p.isalpha() or len(p) == 1 and "!" <= p <= "~":  # these bytes stand for themselves
                 ids[i] = [x.id for x in model.tokenize(p)]
-            elif p.isalpha() and p.islower() and unicodedata.is_normalized("NFC", p):
+            elif p.isalpha() and p.islower() and max(p) < "\u0250" and unicodedata.is_normalized("NFC", p):
                 ids[i] = [x.id for x in model.tokenize(p.encode().decode("latin-1").translate(chars))]
             else:
                 other.append(i)
@@ -95,6 +112,8 @@ class Encoder:
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a string column end to end, each document's with END_ID after it, and the documents' offsets."""
+        if not self.by_pieces:
+            return self._whole(column)
         raw, offs = flat(column)
         raw = LOWER[raw]
         if b"<|" in raw.tobytes():  # special tokens are found before all else: cut at white space only
@@ -133,6 +152,12 @@ class Encoder:
         out[np.repeat(out_at, n) + step] = self.ids[np.repeat(at, n) + step]
         return out, doc_offs
 
+    def _whole(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """Like encode(), by the library over whole texts."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+        offs = np.r_[0, np.cumsum([len(x) + 1 for x in found], dtype=np.int64)]
+        return np.fromiter((i for x in found for i in (*x, END_ID)), np.int32, int(offs[-1])), offs
+
     def _find(self, keys: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.keys, keys)
         at[at == len(self.keys)] = 0

@@ -1,7 +1,7 @@
 """Token-id output: each shard one wavelet matrix in a compressed file.
 
-A shard holds the ids of consecutive documents (ascending doc_id, ids below 2 ** BITS). Bit planes run from the highest bit; each
-plane orders the ids stably by the bits before it. A plane is kept in blocks of BLOCK bits, each compressed by itself, with
+A shard holds the ids of consecutive documents (ascending doc_id), in as many bit planes as its highest id has bits. Planes run from the
+highest bit; each orders the ids stably by the bits before it. A plane is kept in blocks of BLOCK bits, each compressed by itself, with
 the count of ones before each block: access, rank and select open only the blocks that they touch.
 
 File: shards end to end, each ``XWM1``, byte length of the rest (u64), header length (u32), header (JSON), then the sections
@@ -25,7 +25,8 @@ from xylem.llm.tokens import Encoder, crc, tokenizer_path
 from xylem.session import Workspace
 
 MAGIC = b"XWM1"
-BITS, BLOCK = 16, 1 << 15
+#: Bits of a block; most bits of an id, which is what the contract's 32-bit words hold.
+BLOCK, MOST_BITS = 1 << 15, 32
 #: A shard is closed when it has so many ids; a document is never divided.
 SHARD_TOKENS = 1 << 21
 
@@ -33,9 +34,12 @@ SHARD_TOKENS = 1 << 21
 def build(ids: np.ndarray, doc_ids: list, counts: np.ndarray, part: int, chunk: int) -> bytes:
     """The bytes of one shard."""
     pack = zstandard.ZstdCompressor(level=1)
-    cur = ids.astype(np.uint16)
+    bits_of = max(int(ids.max()).bit_length(), 1) if len(ids) else 1
+    if bits_of > MOST_BITS or len(ids) and ids.min() < 0:
+        raise ValueError(f"ids of a shard must be below 2 ** {MOST_BITS}")
+    cur = ids.astype(np.uint16 if bits_of <= 16 else np.uint32)
     blocks, ranks, sizes, zeros = [], [], [], []
-    for bit in range(BITS - 1, -1, -1):
+    for bit in range(bits_of - 1, -1, -1):
         ones = (cur >> bit & 1).astype(bool)
         bits = np.packbits(ones)
         for k in range(0, len(bits), BLOCK // 8):
@@ -49,7 +53,7 @@ def build(ids: np.ndarray, doc_ids: list, counts: np.ndarray, part: int, chunk:
     docs = pack.compress(np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array([d is None for d in doc_ids], np.uint8).tobytes() + counts.astype("<u8").tobytes())
     rank = pack.compress(np.concatenate(ranks).astype("<u8").tobytes())
     size = pack.compress(np.array(sizes, "<u4").tobytes())
-    head = json.dumps({"n": len(ids), "docs": len(doc_ids), "part": part, "chunk": chunk, "zeros": zeros, "sections": [len(docs), len(rank), len(size)]}).encode()
+    head = json.dumps({"n": len(ids), "docs": len(doc_ids), "bits": bits_of, "part": part, "chunk": chunk, "zeros": zeros, "sections": [len(docs), len(rank), len(size)]}).encode()
     rest = len(head).to_bytes(4, "little") + head + docs + rank + size + b"".join(blocks)
     return MAGIC + len(rest).to_bytes(8, "little") + rest
 
@@ -76,7 +80,7 @@ class WaveletMatrix:
     def __init__(self, view: memoryview):
         n = int.from_bytes(view[:4], "little")
         self.head = json.loads(bytes(view[4 : 4 + n]))
-        self.n, self.zeros = self.head["n"], self.head["zeros"]
+        self.n, self.bits, self.zeros = self.head["n"], self.head["bits"], self.head["zeros"]
         at, parts, self._zstd = 4 + n, [], zstandard.ZstdDecompressor()
         for size in self.head["sections"]:
             parts.append(self._zstd.decompress(view[at : at + size]))
@@ -86,7 +90,7 @@ class WaveletMatrix:
         self.doc_ids = [None if x else int(i) for i, x in zip(np.frombuffer(parts[0], "<i8", d), null)]
         self.counts = np.frombuffer(parts[0], "<u8", d, 9 * d).astype(np.int64)
         self.per = -(-self.n // BLOCK)
-        self.ranks = np.frombuffer(parts[1], "<u8").astype(np.int64).reshape(BITS, self.per)
+        self.ranks = np.frombuffer(parts[1], "<u8").astype(np.int64).reshape(self.bits, self.per)
         sizes = np.frombuffer(parts[2], "<u4").astype(np.int64)
         self._at = at + np.r_[0, np.cumsum(sizes)]
         self._view, self._open = view, {}
@@ -116,7 +120,7 @@ class WaveletMatrix:
         if not 0 <= i < self.n:
             raise IndexError(i)
         token = 0
-        for plane in range(BITS):
+        for plane in range(self.bits):
             bit = int(self._block(plane, i // BLOCK)[i % BLOCK])
             ones = self._ones(plane, i)
             token = token << 1 | bit
@@ -125,9 +129,11 @@ class WaveletMatrix:
 
     def _range(self, token: int, i: int) -> tuple[int, int]:
         low, high = 0, min(i, self.n)
-        for plane in range(BITS):
+        if not 0 <= token < 1 << self.bits:
+            return 0, 0
+        for plane in range(self.bits):
             a, b = self._ones(plane, low), self._ones(plane, high)
-            low, high = (self.zeros[plane] + a, self.zeros[plane] + b) if token >> (BITS - 1 - plane) & 1 else (low - a, high - b)
+            low, high = (self.zeros[plane] + a, self.zeros[plane] + b) if token >> (self.bits - 1 - plane) & 1 else (low - a, high - b)
         return low, high
 
     def rank(self, token: int, i: int) -> int:
@@ -144,8 +150,8 @@ class WaveletMatrix:
         if not 0 <= k < high - low:
             raise IndexError(k)
         at = low + k
-        for plane in range(BITS - 1, -1, -1):
-            bit = token >> (BITS - 1 - plane) & 1
+        for plane in range(self.bits - 1, -1, -1):
+            bit = token >> (self.bits - 1 - plane) & 1
             at = self._select(plane, bit, at - self.zeros[plane] if bit else at)
         return at
 
@@ -156,12 +162,13 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids: planes are undone from the lowest bit up."""
-        cur = np.zeros(self.n, np.uint16)
-        for plane in range(BITS - 1, -1, -1):
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        cur = np.zeros(self.n, kind)
+        for plane in range(self.bits - 1, -1, -1):
             bits = np.unpackbits(np.concatenate([self._bytes(plane, b) for b in range(self.per)]), count=self.n).astype(bool) if self.n else np.zeros(0, bool)
-            up, z = np.empty(self.n, np.uint16), self.zeros[plane]
+            up, z = np.empty(self.n, kind), self.zeros[plane]
             up[~bits] = cur[:z]
-            up[bits] = cur[z:] | np.uint16(1 << (BITS - 1 - plane))
+            up[bits] = cur[z:] | kind(1 << (self.bits - 1 - plane))
             cur = up
         return cur
 
@@ -184,7 +191,7 @@ def _writer(path: str, shard_tokens: int):
         for batch in batches:
             for s in slices(batch):
                 ids, offs = Encoder.of(path).encode(s.column("text"))
-                held.append((ids.astype(np.uint16), s.column("doc_id").to_pylist(), np.diff(offs)))
+                held.append((ids, s.column("doc_id").to_pylist(), np.diff(offs)))
                 size += len(ids)
                 if size >= shard_tokens:
                     yield close()
@@ -199,10 +206,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, shard
     """Write the ids of ``docs`` (doc_id, text) as wavelet matrices, in ascending doc_id order over the shards.
 
     Null doc_ids come first; rows that repeat a doc_id follow each other by the hash of their text. Null or empty text is the
-    end id alone. Documents are dealt by range of doc_id, so shards are written at once by many tasks.
+    end id alone. Documents are dealt by range of doc_id and that hash, so shards are written at once by many tasks, also where many rows have
+    one id or none.
     """
     tokenizer = tokenizer or tokenizer_path()
-    ranged = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    ranged = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     write_blobs(ranged.mapInArrow(_writer(tokenizer, shard_tokens), "blob binary"), path)
 
 
