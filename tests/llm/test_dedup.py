@@ -96,3 +96,51 @@ def test_repeats_odd(spark):
     got = repeats.verdicts(brute.odd(spark))
     assert rows(got) == sorted(brute.repeats([(d, t) for d, t, *_ in brute.ODD], 400), key=str)
     assert repeats.verdicts(brute.empty(spark)).count() == 0
+
+
+def test_links_hidden_between_components_of_a_large_cluster(spark, monkeypatch):
+    """Chains, strays and several groups in one cluster of many small blocks: every link is found, few pairs are compared."""
+    monkeypatch.setattr(near_dedup, "BLOCK_UNITS", 4)
+    how = near_dedup.Settings(numerator=85, bands=48, rows=4)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    data = []
+    for group in range(4):  # four groups of near copies, each too far from the others, but in their buckets
+        mine = list(base)
+        for _ in range(9):
+            mine[rng.randrange(200)] = f"g{group}x{rng.randrange(999)}"
+        for _ in range((40, 20, 5, 1)[group]):
+            text = list(mine)
+            for _ in range(rng.randrange(0, 3)):
+                text[rng.randrange(200)] = f"x{rng.randrange(9999)}"
+            data.append((len(data), " ".join(text)))
+    for step in range(30):  # a chain: each differs from the one before by a little, its ends share little
+        text = [*base[step * 3 :], *[f"c{i}" for i in range(step * 3)]]
+        data.append((len(data), " ".join(text)))
+    rng.shuffle(data)
+    got = near_dedup.grouped(spark.createDataFrame(data, "doc_id long, text string"), how)
+    assert rows(got.select("doc_id", "n_shingles", "component_id")) == sorted(brute.near(data), key=str)
+
+
+def test_a_near_copy_cluster_compares_about_as_many_blocks_as_it_has(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_UNITS", 4)
+    sizes = []
+    whole = near_dedup._compare
+
+    def counted(how):
+        seen = spark.sparkContext.accumulator(0)
+        sizes.append(seen)
+        run = whole(how)
+
+        def count(f):
+            seen.add(len(f))
+            return run(f)
+
+        return count
+
+    monkeypatch.setattr(near_dedup, "_compare", counted)
+    base = [f"w{i}" for i in range(150)]
+    data = [(i, " ".join([*base, f"x{i}"])) for i in range(120)]
+    got = near_dedup.verdicts(spark.createDataFrame(data, "doc_id long, text string"))
+    assert {r.component_id for r in got.collect()} == {0}
+    assert sum(s.value for s in sizes) <= 3 * 120

@@ -5,9 +5,13 @@
    band keys. Units that share a key of a band are candidates; each bucket is a star around its smallest unit, never all pairs.
 3. Connected components of these stars (alternating large-star and small-star) are clusters: every link lies within one.
 4. In a cluster, signatures are compared first; pairs whose agreement could belong to a link are confirmed on full shingle sets.
-   Large clusters are cut into blocks of bounded size, and only pairs of blocks that share a bucket are compared: blocks meet, not
-   pairs of rows, and each comparison returns at most a spanning forest of its links.
-5. Connected components of the confirmed links, again by alternating stars, are the groups.
+   Clusters are cut into blocks of bounded size by hash, and units are compared within their block; a comparison returns a
+   spanning forest of its links.
+5. Connected components of the confirmed links, again by alternating stars, are the groups. Clusters of one block are done. In a
+   larger one the smallest unit of each component so far stands for it in a next round of blocks, until a round leaves more than
+   half of them: so components grow together without pairs of blocks. Then only buckets that hold units of several components can
+   hide a link. There, units outside the cluster's largest component, in blocks, meet all blocks that share such a bucket;
+   units of one component are not compared again. Work grows with a cluster's size times its units outside the largest component.
 
 At the least similarity the bands miss a link with a chance below 3e-7, and a cluster compares more than its buckets.
 """
@@ -147,8 +151,8 @@ def _sets(how: Settings):
     return run
 
 
-def linked_forest(sigs: list[np.ndarray], sets: list[np.ndarray], side: np.ndarray | None, how: Settings) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets (with ``side``, of the links from side 0 to side 1)."""
+def linked_forest(sigs: list[np.ndarray], sets: list[np.ndarray], how: Settings, left: np.ndarray | None = None, group: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets (with ``left`` and ``group``, of the links of left sets with sets of other groups)."""
     n = len(sets)
     sizes = np.array([len(x) for x in sets], np.int64)
     sig = np.stack(sigs)
@@ -175,8 +179,8 @@ def linked_forest(sigs: list[np.ndarray], sets: list[np.ndarray], side: np.ndarr
     numerator, denominator = how.numerator, how.denominator
     for i in range(n - 1):
         others = np.arange(i + 1, n)
-        if side is not None:
-            others = others[side[i + 1 :] != side[i]]
+        if left is not None:
+            others = others[(left[i] | left[i + 1 :]) & (group[i + 1 :] != group[i])]
         small, large = np.minimum(sizes[i], sizes[others]), np.maximum(sizes[i], sizes[others])
         others = others[denominator * small >= numerator * large]
         if not len(others):
@@ -195,13 +199,16 @@ def linked_forest(sigs: list[np.ndarray], sets: list[np.ndarray], side: np.ndarr
 
 
 def _compare(how: Settings):
+    """Links of the units of a block (unit, sig, items) or, with ``minor`` and ``comp``, of a cell."""
+
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.drop_duplicates("unit")
+        cell = "minor" in f.columns
+        f = f.sort_values("minor", ascending=False, kind="stable").drop_duplicates("unit") if cell else f.drop_duplicates("unit")
         if len(f) < 2:
             return pd.DataFrame({"u": [], "v": []})
-        side = f["blk"].to_numpy() if f["blk"].nunique() > 1 else None
         units = f["unit"].tolist()
-        links = linked_forest([np.frombuffer(x, np.uint32) for x in f["sig"]], [np.frombuffer(x, np.uint64) for x in f["items"]], side, how)
+        labels = (f["minor"].to_numpy(bool), pd.factorize(f["comp"])[0]) if cell else ()
+        links = linked_forest([np.frombuffer(x, np.uint32) for x in f["sig"]], [np.frombuffer(x, np.uint64) for x in f["items"]], how, *labels)
         return pd.DataFrame({"u": [units[i] for i, _ in links], "v": [units[j] for _, j in links]})
 
     return run
@@ -210,27 +217,31 @@ def _compare(how: Settings):
 def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(node, root) of every node of ``edges`` (u, v): root is the smallest node reachable; large-star and small-star alternate until nothing changes.
 
-    A node's smallest neighbour is a partial aggregate; the join back to its edges is one that adaptive execution can split.
+    A node's smallest neighbour is a partial aggregate, written before it is joined back to the node's edges: joined straight to what it
+    was made of, it would share that side's partitions, which adaptive execution could not split where a node has very many edges.
     """
 
-    def smallest(e: DataFrame) -> DataFrame:
-        return e.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
+    def smallest(e: DataFrame, phase: str) -> DataFrame:
+        return work.save(e.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")), f"{name}-{phase}")
 
     e = work.save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-edges")
     before = None
     while True:
         # large-star: larger neighbours of u go to the smallest of u and its neighbours
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = smallest(both).select("n", F.least("n", "m").alias("m"))
+        near = smallest(both, "nearest")
+        m = near.select("n", F.least("n", "m").alias("m"))
         large = both.where("v > u").join(m, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = work.save(large, f"{name}-large")
         work.drop(e)
+        work.drop(near)
         # small-star: u and its smaller neighbours go to the smallest of these
-        m = smallest(large)
+        m = smallest(large, "least")
         joined = large.join(m, F.col("u") == F.col("n"))
         e = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(m.select(F.col("n").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
         e = work.save(e, f"{name}-small")
         work.drop(large)
+        work.drop(m)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -239,6 +250,75 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _edges(linked: DataFrame) -> DataFrame:
+    return linked.select(F.col("node").alias("u"), F.col("root").alias("v"))
+
+
+def _share(size):
+    """Blocks for rows with that many bytes each."""
+    return F.greatest(F.ceil(F.count(size) / BLOCK_UNITS), F.ceil(F.coalesce(F.sum(size), F.lit(0)) / BLOCK_BYTES)).cast("int")
+
+
+def _in_blocks(units: DataFrame, work: Workspace, name: str) -> tuple[DataFrame, DataFrame]:
+    """``units`` (unit, root, items, ...) with ``blocks`` and ``blk``, and (c, blocks) of the clusters of more than one block."""
+    size = work.save(units.groupBy(F.col("root").alias("c")).agg(_share(F.octet_length("items")).alias("blocks")), f"{name}-sizes")
+    out = units.join(size, F.col("root") == F.col("c")).drop("c").withColumn("blk", F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int"))
+    return out, size.where("blocks > 1")
+
+
+def _linked(sets: DataFrame, bucketed: DataFrame, how: Settings, work: Workspace) -> DataFrame:
+    """(node, root) of every unit that is linked with any, from ``sets`` (unit, root: its cluster, sig, items) and its buckets."""
+    pair = "u binary, v binary"
+    placed, large = _in_blocks(sets, work, "blocks")
+    links = placed.select("root", "blk", "unit", "sig", "items").groupBy("root", "blk").applyInPandas(_compare(how), pair)
+    linked = work.save(components(links, work, "linked"), "linked")
+    if not large.head(1):
+        return linked
+    wide = work.save(sets.join(large.select("c"), F.col("root") == F.col("c"), "left_semi"), "wide")
+
+    def labelled() -> DataFrame:
+        """``wide`` with ``comp``, the smallest unit linked with each so far."""
+        named = linked.withColumnsRenamed({"node": "l_node", "root": "l_root"})
+        return wide.join(named, F.col("unit") == F.col("l_node"), "left").withColumn("comp", F.coalesce("l_root", "unit")).drop("l_node", "l_root")
+
+    before, turn, least = wide.count(), 0, large.count()
+    while True:
+        ones = labelled().where("unit = comp").drop("comp")
+        n = ones.count()
+        # the first round always runs; a later one only where the last has at least halved the components and there is more than one in some cluster
+        if turn and (2 * n > before or n <= least):
+            break
+        before, turn = n, turn + 1
+        placed, _ = _in_blocks(ones, work, f"ones{turn}")
+        more = placed.select("root", "blk", "unit", "sig", "items").groupBy("root", "blk").applyInPandas(_compare(how), pair)
+        linked = work.save(components(_edges(linked).union(more), work, f"linked{turn}"), "linked")
+    # what is left: buckets of several components
+    comps = work.save(labelled().select("unit", "root", "comp"), "components")
+    seen = bucketed.select("band", "key", "unit").join(comps, "unit")
+    mixed = work.save(seen.groupBy("band", "key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("band", "key"), "mixed")
+    if not mixed.head(1):
+        return linked
+    most = comps.groupBy("root", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("root").alias("c")).agg(F.max_by("comp", F.struct("n", "comp")).alias("most"))
+    most = work.save(most, "most")
+    seen = work.save(seen.join(mixed, ["band", "key"]).join(most, F.col("root") == F.col("c")).select("band", "key", "unit", "root", "comp", (F.col("comp") != F.col("most")).alias("minor")), "open")
+    # cells of a block of units outside the largest component and a block of any; both by hash
+    units = seen.select("unit", "root", "comp", "minor").distinct()
+    units = work.save(units.join(wide.select("unit", "sig", "items"), "unit"), "open-units")
+    size = F.octet_length("items")
+    count = work.save(units.groupBy(F.col("root").alias("c")).agg(_share(size).alias("n_all"), _share(F.when(F.col("minor"), size)).alias("n_minor")), "cell-sizes")
+    block = lambda n: F.pmod(F.xxhash64("unit"), F.col(n)).cast("int")
+    where = seen.join(count, F.col("root") == F.col("c")).select("band", "key", "root", "minor", F.when(F.col("minor"), block("n_minor")).alias("i"), block("n_all").alias("j"))
+    here, there = where.where("minor").select("band", "key", "root", "i").distinct(), where.select("band", "key", "j").distinct()
+    cells = work.save(here.join(there, ["band", "key"]).select("root", "i", "j").distinct(), "cells")
+    full = units.join(count, F.col("root") == F.col("c"))
+    full = work.save(full.select("root", "unit", "comp", "minor", F.when(F.col("minor"), block("n_minor")).alias("mine"), block("n_all").alias("any"), "sig", "items"), "cell-units")
+    columns = ["root", "i", "j", "unit", "comp", "minor", "sig", "items"]
+    left = full.where("minor").join(cells.withColumnRenamed("i", "mine"), ["root", "mine"]).withColumnRenamed("mine", "i").select(*columns)
+    right = full.join(cells.withColumnRenamed("j", "any"), ["root", "any"]).withColumnRenamed("any", "j").withColumn("minor", F.lit(False)).select(*columns)
+    more = left.union(right).groupBy("root", "i", "j").applyInPandas(_compare(how), pair)
+    return work.save(components(_edges(linked).union(more), work, "linked-all"), "linked")
+
+
 def grouped(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     """The columns of ``docs`` but text, with n_shingles, component_id, unit and group (null without words), one row per row of ``docs`` (doc_id, text, ...).
 
@@ -254,8 +334,9 @@ def grouped(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     units = rows.where("n_shingles > 0").groupBy("unit").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     keyed = work.save(units.select("unit", F.posexplode("bands").alias("band", "key")), "bands")
     # buckets of two or more, as stars
-    stars = keyed.groupBy("band", "key").agg(F.min("unit").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    stars = work.save(keyed.groupBy("band", "key").agg(F.min("unit").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1"), "stars")
     bucketed = work.save(keyed.join(stars, ["band", "key"]).select("band", "key", "unit", "centre"), "buckets")
+    work.drop(keyed)
     clusters = work.save(components(bucketed.select(F.col("unit").alias("u"), F.col("centre").alias("v")).distinct(), work, "clusters"), "clusters")
     members = clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct())
     # full sets of the candidates, from the text of one document each
@@ -265,22 +346,11 @@ def grouped(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     texts = docs.select("doc_id", "text").join(chosen.select("of").distinct(), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
     sets = texts.select("text").mapInArrow(_sets(how), "unit binary, sig binary, items binary").join(members, F.col("unit") == F.col("node"))
     sets = work.save(sets.select("unit", "root", "sig", "items"), "sets")
-    size = sets.groupBy(F.col("root").alias("c")).agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_UNITS), F.ceil(F.sum(F.octet_length("items")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    block = lambda u, n: F.pmod(F.xxhash64(u), n).cast("int")
-    placed = sets.join(size, F.col("root") == F.col("c")).select("unit", "root", "sig", "items", "blocks", block(F.col("unit"), F.col("blocks")).alias("blk"))
-    large = members.join(size.where("blocks > 1"), F.col("root") == F.col("c")).select("node", "root", block(F.col("node"), F.col("blocks")).alias("blk"))
-    # pairs of blocks of a large cluster that share a bucket
-    in_block = bucketed.join(large, F.col("unit") == F.col("node")).select("root", "band", "key", "blk").distinct()
-    there = in_block.select("root", "band", "key", F.col("blk").alias("j"))
-    pairs = in_block.join(there, ["root", "band", "key"]).where("blk <= j").select("root", F.col("blk").alias("i"), "j").distinct()
-    pairs = work.save(pairs.union(size.where("blocks = 1").select("c", F.lit(0), F.lit(0))).select("root", "i", "j"), "pairs")
-    ends = pairs.select("root", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("blk"))
-    meeting = placed.join(ends, ["root", "blk"]).select("root", "i", "j", "blk", "unit", "sig", "items")
-    links = meeting.groupBy("root", "i", "j").applyInPandas(_compare(how), "u binary, v binary")
-    linked = work.save(components(links, work, "links"), "linked")
+    linked = _linked(sets, bucketed, how, work)
     # smallest doc_id of each group
     full = rows.drop("bands").join(linked, F.col("unit") == F.col("node"), "left").withColumn("group", F.when(F.col("n_shingles") > 0, F.coalesce("root", "unit"))).drop("node", "root")
     least = units.select("unit", "doc_id").join(linked, F.col("unit") == F.col("node"), "left").groupBy(F.coalesce("root", "unit").alias("g")).agg(F.min("doc_id").alias("component_id"))
+    least = work.save(least, "least")  # a table of its own, so that a large group's rows can be split
     out = full.join(least, F.col("group") == F.col("g"), "left")
     return out.select(*rest, "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "unit", "group")
 
