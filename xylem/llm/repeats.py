@@ -252,13 +252,14 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, keep_bytes: b
     work = Workspace(spark, "repeats")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     found = work.save(texts.mapInArrow(_seed_rows(length, k), "doc_id long, h long, fp long, seg long, p long, j0 long, j1 long"), "seeds")
-    # merge: the same plan at any size, and partitions of a hot seed can be split
-    often = found.groupBy(F.col("fp").alias("f")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # counts are tables of their own: joined straight to the rows that they count, they would share their partitions, and those of a hot
+    # seed could not be split. merge: the same plan at any size
+    often = work.save(found.groupBy(F.col("fp").alias("f")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
     open_ = work.save(found.join(often.hint("merge"), F.col("fp") == F.col("f")).drop("f", "n"), "open")
     work.drop(found)
     first = F.min(F.struct("doc_id", "h", "p", "j0", "j1")).alias("one")
     segments = work.save(open_.groupBy("fp", "seg").agg(F.count(F.lit(1)).alias("copies"), first), "segments")
-    kinds = segments.groupBy(F.col("fp").alias("f")).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    kinds = work.save(segments.groupBy(F.col("fp").alias("f")).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "kinds")
     wanted = segments.join(kinds, F.col("fp") == F.col("f")).select("fp", "seg", "kinds", "one.*")
     by_doc = wanted.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("t")).agg(F.collect_list(F.struct("fp", "seg", "p", "j0", "j1")).alias("wanted"))
     chosen = texts.hint("merge").join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("t")))
@@ -267,7 +268,8 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, keep_bytes: b
     few = sized.where(F.col("kinds") <= group_most).select("fp", "seg", "before", "data").repartition("fp").sortWithinPartitions("fp")
     ranges = few.mapInArrow(_aligned(length, k), "fp long, seg long, ranges binary")
     many = sized.where(F.col("kinds") > group_most).select("fp", "seg", "before", "data").mapInArrow(_windows(length), "fp long, seg long, place int, a long, b long")
-    again = many.groupBy("fp", "place", "a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    many = work.save(many, "windows")
+    again = work.save(many.groupBy("fp", "place", "a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "again")
     places = many.join(again, ["fp", "place", "a", "b"]).groupBy("fp", "seg").agg(F.collect_set("place").alias("places"))
     ranges = ranges.union(places.mapInArrow(_pack, "fp long, seg long, ranges binary"))
     ranges = work.save(ranges.withColumnsRenamed({"fp": "f", "seg": "s"}), "ranges")
