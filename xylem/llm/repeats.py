@@ -10,9 +10,11 @@ longest document has bytes. So the columns are cut short first, without losing a
 3. Column-wise construction: each round one symbol of every aligned segment is inserted; the order of segments by reversed prefix (the
    positional Burrows-Wheeler transform) and the starts of common stretches with the neighbour are updated from the last round's.
    A window ending in this column repeats when its stretch with a neighbour is LENGTH or longer. Batches of whole seed
-   groups pass through a task one after another, bounded in memory. A seed with more than GROUP_MOST different segments is not gathered:
-   the hashes of its windows are counted by a distributed aggregation instead.
-4. Bytes under a repeated window are cut from the text.
+   groups pass through a task one after another, bounded in memory.
+4. A seed with more than GROUP_MOST different segments is refined before it is gathered: the places of its windows are halved, and windows
+   of a half share more than the seed, up to all bytes when one place is left. Each segment goes on as two shorter ones with these longer
+   seeds; those of GROUP_MOST segments at most meet in step 3, equal ones are settled, the others are halved again.
+5. Bytes under a repeated window are cut from the text.
 """
 
 from __future__ import annotations
@@ -137,26 +139,26 @@ def columns_repeated(matrix: np.ndarray, group: np.ndarray, length: int = LENGTH
 
 
 def _aligned(length: int, k: int):
-    """Batches of whole seed groups, from rows ordered by seed hash, to (fp, seg, repeated windows relative to the seed)."""
+    """Batches of whole seed groups, from rows ordered by seed hash, to (of_fp, of_seg, repeated windows relative to the seed)."""
     reach = length - k
 
     def solve(rows):
         fps = np.array([r[0] for r in rows], np.int64)
         matrix = np.full((len(rows), reach + length), -1, np.int16)
-        for i, (_, _, before, data) in enumerate(rows):
+        for i, (*_, before, data) in enumerate(rows):
             matrix[i, reach - before : reach - before + len(data)] = np.frombuffer(data, np.uint8)
         hits = columns_repeated(matrix, fps, length)
         out = []
         for r, row in zip(rows, hits):
             edge = np.flatnonzero(np.diff(np.r_[0, row.astype(np.int8), 0]))
             if len(edge):
-                out.append((r[0], r[1], (edge - reach).astype(np.int32).tobytes()))
-        return pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["fp", "seg", "ranges"])
+                out.append((r[1], r[2], (edge - reach).astype(np.int32).tobytes()))
+        return pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["of_fp", "of_seg", "ranges"])
 
     def run(batches):
         rows: list = []
         for batch in batches:
-            for r in zip(*[batch.column(c).to_pylist() for c in ("fp", "seg", "before", "data")]):
+            for r in zip(*[batch.column(c).to_pylist() for c in ("fp", "of_fp", "of_seg", "before", "data")]):
                 if len(rows) >= BATCH and r[0] != rows[-1][0]:
                     yield solve(rows)
                     rows = []
@@ -167,32 +169,36 @@ def _aligned(length: int, k: int):
     return run
 
 
-def _windows(length: int):
-    """(fp, seg, place relative to the seed, two hashes) of each window of a segment."""
+_PART = "fp long, seg long, of_fp long, of_seg long, before int, data binary, low int, high int, ranges binary"
+
+
+def _halves(length: int):
+    """Each segment, whose windows are at places ``low`` to ``high`` from its seed, as those of either half, with the hash of all that the half's windows share as seed."""
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                data = np.frombuffer(batch.column("data")[i].as_py(), np.uint8)
-                at = np.arange(len(data) - length + 1)
-                a, b = hash_spans(running(data), at, at + length), hash_spans(running(data[::-1]), len(data) - at - length, len(data) - at)
-                n = len(at)
-                yield pa.record_batch([pa.array([batch.column("fp")[i].as_py()] * n, pa.int64()), pa.array([batch.column("seg")[i].as_py()] * n, pa.int64()), pa.array((at - batch.column("before")[i].as_py()).astype(np.int32)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["fp", "seg", "place", "a", "b"])
+            out = []
+            for r in batch.to_pylist():
+                data = np.frombuffer(r["data"], np.uint8)
+                total, n, before = running(data), len(data), r["before"]
+                middle = (r["low"] + r["high"]) // 2
+                for low, high in ((r["low"], middle), (middle + 1, r["high"])):
+                    first, last = max(low, -before), min(high, n - before - length)
+                    if first <= last:
+                        spans = np.array([[high, low + length], [first, last + length]]) + before
+                        shared, own = hash_spans(total, spans[:, 0], spans[:, 1])
+                        mark = mix(np.array([r["fp"], low, first], np.int64).view(np.uint64))
+                        with np.errstate(over="ignore"):
+                            fp = mix(shared + mark[:1] + mark[1:2] * _U(3))[0]
+                            seg = mix(own + mark[2:] * _U(3))[0]
+                        piece = data[first + before : last + before + length].tobytes()
+                        out.append((fp.view(np.int64), seg.view(np.int64), r["of_fp"], r["of_seg"], -first, piece, low, high, np.array([first, last + 1], np.int32).tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=[c.split()[0] for c in _PART.split(", ")])
 
     return run
 
 
-def _pack(batches):
-    """Sorted places of repeated windows to ranges (first, last + 1)."""
-    for batch in batches:
-        out = []
-        for places in batch.column("places").to_pylist():
-            x = np.unique(places)
-            cut = np.flatnonzero(np.diff(x) != 1)
-            out.append(np.stack([x[np.r_[0, cut + 1]], x[np.r_[cut, len(x) - 1]] + 1], 1).astype(np.int32).tobytes())
-        yield pa.record_batch([batch.column("fp"), batch.column("seg"), pa.array(out, pa.binary())], names=["fp", "seg", "ranges"])
-
-
 def _fetch(length: int):
     """The bytes of each wanted segment of a text."""
 
@@ -264,15 +270,28 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, keep_bytes: b
     by_doc = wanted.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("t")).agg(F.collect_list(F.struct("fp", "seg", "p", "j0", "j1")).alias("wanted"))
     chosen = texts.hint("merge").join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("t")))
     data = work.save(chosen.select("text", "wanted").mapInArrow(_fetch(length), "fp long, seg long, before int, data binary").dropDuplicates(["fp", "seg"]), "data")
-    sized = data.join(kinds, F.col("fp") == F.col("f"))
-    few = sized.where(F.col("kinds") <= group_most).select("fp", "seg", "before", "data").repartition("fp").sortWithinPartitions("fp")
-    ranges = few.mapInArrow(_aligned(length, k), "fp long, seg long, ranges binary")
-    many = sized.where(F.col("kinds") > group_most).select("fp", "seg", "before", "data").mapInArrow(_windows(length), "fp long, seg long, place int, a long, b long")
-    many = work.save(many, "windows")
-    again = work.save(many.groupBy("fp", "place", "a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "again")
-    places = many.join(again, ["fp", "place", "a", "b"]).groupBy("fp", "seg").agg(F.collect_set("place").alias("places"))
-    ranges = ranges.union(places.mapInArrow(_pack, "fp long, seg long, ranges binary"))
-    ranges = work.save(ranges.withColumnsRenamed({"fp": "f", "seg": "s"}), "ranges")
+    columns = ["fp", "seg", "of_fp", "of_seg", "before", "data", "low", "high"]
+    own = data.withColumns({"of_fp": F.col("fp"), "of_seg": F.col("seg"), "low": F.lit(k - length), "high": F.lit(0)})
+    sized = own.join(kinds, F.col("fp") == F.col("f")).select(*columns, "kinds")
+    found_ranges, out_kinds, level = [], "of_fp long, of_seg long, ranges binary", 0
+    while True:
+        few = sized.where(F.col("kinds") <= group_most).select("fp", "of_fp", "of_seg", "before", "data").repartition("fp").sortWithinPartitions("fp")
+        found_ranges.append(few.mapInArrow(_aligned(length, k), out_kinds))
+        many = sized.where((F.col("kinds") > group_most) & (F.col("low") < F.col("high"))).select(*columns)
+        if not many.head(1):
+            break
+        level += 1
+        parts = work.save(many.mapInArrow(_halves(length), _PART), f"parts{level}")
+        same = work.save(parts.groupBy("fp", "seg").agg(F.count(F.lit(1)).alias("copies")), f"same{level}")
+        twice = same.where("copies > 1").select(F.col("fp").alias("f"), F.col("seg").alias("s"))
+        found_ranges.append(parts.join(twice, (F.col("fp") == F.col("f")) & (F.col("seg") == F.col("s")), "left_semi").select("of_fp", "of_seg", "ranges"))
+        # equal segments are settled for all that have them; one of them goes on, for others to meet
+        kinds = work.save(same.groupBy(F.col("fp").alias("f")).agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), f"kinds{level}")
+        sized = work.save(parts.join(kinds, F.col("fp") == F.col("f")).select(*columns, "kinds").dropDuplicates(["fp", "seg"]), f"open{level}")
+    ranges = found_ranges[0]
+    for more in found_ranges[1:]:
+        ranges = ranges.union(more)
+    ranges = work.save(ranges.withColumnsRenamed({"of_fp": "f", "of_seg": "s"}), "ranges")
     whole = segments.where("copies > 1").select(F.col("fp").alias("f"), F.col("seg").alias("s"), F.lit(None).cast("binary").alias("ranges"))
     partly = ranges.join(whole.select("f", "s"), ["f", "s"], "left_anti")
     marks = whole.union(partly.select("f", "s", "ranges"))
