@@ -159,6 +159,31 @@ def test_quality_rejects_outliers_and_keeps_clean(spark):
     assert all(got[i] for i in range(200)) and not any(got[1000 + i] for i in range(5))
 
 
+def test_quality_is_judged_by_group(spark):
+    """What is usual in one source is an outlier in another."""
+    rng = np.random.default_rng(4)
+    words = lambda n: ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(n)]
+    table = lambda: " ".join(w if i % 2 else "|" for i, w in enumerate(words(200)))
+    data = [(i, " ".join(words(150)), "en", "prose") for i in range(150)] + [(1000 + i, table(), "en", "tables") for i in range(150)] + [(2000, table(), "en", "prose")]
+    got = {r.doc_id: r.kept for r in quality.judged(spark.createDataFrame(data, brute.SCHEMA)).collect()}
+    assert [d for d, kept in got.items() if not kept] == [2000]
+
+
+def test_the_least_determinant_of_several_starts_wins(spark):
+    """A tight cloud of four fifths and a far one: the estimate is of the tight one, whichever starts take both."""
+    from xylem.session import Workspace
+
+    rng = np.random.default_rng(6)
+    x = np.r_[rng.normal(0, 2, (400, quality.P)), rng.normal(30, 2, (100, quality.P))]
+    df = spark.createDataFrame([("en", "s", *map(float, r)) for r in x], ["lang", "source", *[f"x{i}" for i in range(quality.P)]])
+    best = quality.estimates(df, Workspace(spark, "test")).first()
+    assert all(abs(best[f"m{i}"]) < 0.6 for i in range(quality.P))
+    located = quality._located(df, quality.estimates(df, Workspace(spark, "test"))).select("d2").toPandas().d2.to_numpy()
+    assert (located[:400] < 50).mean() > 0.99 and (located > 50).sum() == 100
+    inv, logdet = quality.floored(np.zeros((1, quality.P, quality.P)))
+    assert np.allclose(np.diag(inv[0]), 1 / np.square(list(quality.STATS.values()))) and logdet[0] == 0
+
+
 def test_quality_odd(spark):
     got = quality.judged(brute.odd(spark))
     assert got.count() == len(brute.ODD) and not got.where("base_failed AND kept").count()

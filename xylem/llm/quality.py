@@ -1,8 +1,9 @@
 """Quality rules: plain limits, then robust multivariate outliers per language and source.
 
 Each document's counts become a vector of transformed statistics. For each (lang, source) the minimum covariance determinant
-(MCD) is sought by concentration steps: distances to the present centre and scatter, the H share of nearest documents, their
-mean and covariance, again. A step is two aggregations over all documents (a mergeable quantile of distances, sums of products), so no
+(MCD) is sought from several starting subsets at once by concentration steps: distances to the present centre and scatter, the H share of
+nearest documents, their mean and covariance, again, until no determinant changes; the start with the least determinant is the
+estimate. A step is two aggregations over all documents (a mergeable quantile of distances, sums of products), so no
 group is ever gathered; only its moments are. A document is rejected when its Mahalanobis distance under the final, consistent and
 reweighted estimate passes a chi-square limit.
 """
@@ -14,7 +15,7 @@ from math import exp, lgamma, log
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from xylem.llm.text import flat, shingle_hashes, slices, span_hashes, word_bounds
@@ -22,10 +23,14 @@ from xylem.session import Workspace
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Statistics of the vector, and the least standard deviation that each is granted: where most documents agree (no symbols, no
-#: repeats), the scatter would be singular and any deviation infinitely far.
-STATS = {"log_words": 0.5, "word_length": 0.5, "symbols": 0.25, "dup_lines": 0.1, "repeats": 0.08}
-#: Share of documents in the MCD subset; concentration steps; smaller groups take the estimate of all documents.
-H, STEPS, LEAST_GROUP = 0.75, 4, 50
+#: repeats), the scatter would be singular and any deviation infinitely far. In units of these, no direction has a variance below one.
+#: That of symbols is about one in a text of 150 words.
+STATS = {"log_words": 0.5, "word_length": 0.5, "symbols": 0.08, "dup_lines": 0.1, "repeats": 0.08}
+#: Share of documents in the MCD subset; most concentration steps; change of a log-determinant below which a group is settled.
+H, STEPS, SETTLED = 0.75, 12, 0.01
+#: Documents that the mean over all groups, and the mean scatter within groups, count as in each group's: its own moments prevail as it grows
+#: past these.
+SHRINK = 25
 #: A document this unlikely (chi-square tail) is an outlier.
 TAIL = 1e-9
 
@@ -141,88 +146,123 @@ def consistency(share: float, p: int) -> float:
     return chi2_cdf(chi2_quantile(share, p), p + 2) / share
 
 
-def _estimate(scale: float):
-    """Moments of each group to centre ``m*`` and inverse scatter ``w*`` (its upper triangle)."""
+_SUMS = ["n", *[f"s{i}" for i in range(P)], *[f"q{i}_{j}" for i, j in _PAIRS]]
+
+
+def mean_and_scatter(sums: np.ndarray, within: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of _SUMS; with ``within``, products are of deviations already."""
+    n = np.maximum(sums[:, 0], 1)
+    mean = sums[:, 1 : 1 + P] / n[:, None]
+    cov = np.zeros((len(sums), P, P))
+    for k, (i, j) in enumerate(_PAIRS):
+        cov[:, i, j] = cov[:, j, i] = sums[:, 1 + P + k] / n - (0 if within else mean[:, i] * mean[:, j])
+    return mean, cov
+
+
+def floored(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inverse and log-determinant of scatters with at least the variances of STATS in every direction."""
+    unit = np.outer(list(STATS.values()), list(STATS.values()))
+    w, v = np.linalg.eigh(cov / unit)
+    w = np.maximum(w, 1.0)
+    return np.einsum("gik,gk,gjk->gij", v, 1 / w, v) / unit, np.log(w).sum(1)
+
+
+def _estimate(scale: float, every: dict[int, list[float]]):
+    """Moments of each group and start to centre ``m*``, inverse scatter ``w*`` (its upper triangle) and ``logdet``; ``every`` has each start's _SUMS over all groups, products within them."""
 
     def run(frames):
         for f in frames:
-            n = np.maximum(f["n"].to_numpy(float), 1)
-            mean = f[[f"s{i}" for i in range(P)]].to_numpy(float) / n[:, None]
-            cov = np.zeros((len(f), P, P))
-            for i, j in _PAIRS:
-                cov[:, i, j] = cov[:, j, i] = f[f"q{i}_{j}"].to_numpy(float) / n - mean[:, i] * mean[:, j]
-            cov = cov / scale + np.diag(np.square(list(STATS.values())))
-            inv = np.linalg.inv(cov)
-            out = f[["g_lang", "g_source", "group_n"]].copy()
+            if not len(f):
+                continue
+            sums = f[_SUMS].to_numpy(float)
+            mean, cov = mean_and_scatter(sums)
+            all_mean, all_cov = mean_and_scatter(np.array([every[k] for k in f["start"]], float), within=True)
+            own = sums[:, 0] / (sums[:, 0] + SHRINK)
+            mean = own[:, None] * mean + (1 - own)[:, None] * all_mean
+            cov = own[:, None, None] * cov + (1 - own)[:, None, None] * all_cov
+            inv, logdet = floored(cov / scale)
+            out = f[["start", "g_lang", "g_source"]].copy()
             for i in range(P):
                 out[f"m{i}"] = mean[:, i]
             for i, j in _PAIRS:
                 out[f"w{i}_{j}"] = inv[:, i, j] * (1 if i == j else 2)
+            out["logdet"] = logdet
             yield out
 
     return run
 
 
+_ESTIMATE = ", ".join(["start int", "g_lang string", "g_source string", *[f"m{i} double" for i in range(P)], *[f"w{i}_{j} double" for i, j in _PAIRS], "logdet double"])
+
+
 def _moments(rows: DataFrame, inside) -> DataFrame:
-    """Sums over each group's documents that are ``inside``, and how many documents it has in all."""
+    """_SUMS over each group's and start's documents that are ``inside``."""
     take = lambda c: F.coalesce(F.sum(F.when(inside, c)), F.lit(0.0))
-    return rows.groupBy(F.col("lang").alias("g_lang"), F.col("source").alias("g_source")).agg(
-        F.count(F.lit(1)).alias("group_n"), F.count(F.when(inside, 1)).alias("n"), *[take(F.col(f"x{i}")).alias(f"s{i}") for i in range(P)], *[take(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i, j in _PAIRS]
+    return rows.groupBy("start", F.col("lang").alias("g_lang"), F.col("source").alias("g_source")).agg(
+        F.count(F.when(inside, 1)).cast("double").alias("n"), *[take(F.col(f"x{i}")).alias(f"s{i}") for i in range(P)], *[take(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i, j in _PAIRS]
     )
 
 
-def _pooled(moments: DataFrame) -> DataFrame:
-    """Small groups take the sums of all documents (a window over one row per group)."""
-    sums = ["n", *[f"s{i}" for i in range(P)], *[f"q{i}_{j}" for i, j in _PAIRS]]
-    every = Window.partitionBy(F.lit(1))
-    small = F.col("group_n") < LEAST_GROUP
-    return moments.select("g_lang", "g_source", "group_n", *[F.when(small, F.sum(c).over(every)).otherwise(F.col(c)).alias(c) for c in sums])
+def _with(rows: DataFrame, of_groups: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with what ``of_groups`` (g_lang, g_source, ...) says of their group; a saved table, so that a large group's rows can be split."""
+    return rows.join(of_groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), how).drop("g_lang", "g_source")
 
 
-def _located(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """``rows`` with ``d2``, the squared Mahalanobis distance to their group's centre."""
-    joined = rows.join(estimate, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
+def _located(rows: DataFrame, estimate: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with ``d2``, the squared Mahalanobis distance to their group's centre, for each of its starts."""
     diff = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(P)]
     d2 = sum((F.col(f"w{i}_{j}") * diff[i] * diff[j] for i, j in _PAIRS), F.lit(0.0))
-    return joined.withColumn("d2", d2)
+    return _with(rows, estimate, how).withColumn("d2", d2)
+
+
+def estimates(fit: DataFrame, work: Workspace) -> DataFrame:
+    """The reweighted MCD estimate of each group of ``fit`` (lang, source, x*)."""
+
+    def estimate(moments: DataFrame, scale: float, name: str) -> DataFrame:
+        moments = work.save(moments, f"moments-{name}")
+        within = {f"q{i}_{j}": F.col(f"q{i}_{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.greatest("n", F.lit(1.0)) for i, j in _PAIRS}
+        # one row per start
+        every = {r["start"]: [r[c] for c in _SUMS] for r in moments.groupBy("start").agg(*[F.sum(within.get(c, F.col(c))).alias(c) for c in _SUMS]).collect()}
+        return work.save(moments.mapInPandas(_estimate(scale, every), _ESTIMATE), f"estimate-{name}")
+
+    groups = [F.col("lang").alias("g_lang"), F.col("source").alias("g_source")]
+    middle = work.save(fit.groupBy(*groups).agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 2000).alias(f"c{i}") for i in range(P)]), "middle")
+    z = [(F.col(f"x{i}") - F.col(f"c{i}")[1]) / F.greatest((F.col(f"c{i}")[2] - F.col(f"c{i}")[0]) / 1.349, F.lit(float(s))) for i, s in enumerate(STATS.values())]
+    # starts: near the medians as an ellipsoid, as a box and by the sum of deviations; all documents; a half by hash
+    subsets = [
+        sum((x * x for x in z), F.lit(0.0)) <= chi2_quantile(H, P), F.greatest(*[F.abs(x) for x in z]) <= 1.5, sum((F.abs(x) for x in z), F.lit(0.0)) <= P * 0.8,
+        F.lit(True), F.xxhash64(*[f"x{i}" for i in range(P)]) % 2 == 0,
+    ]
+    rows = _with(fit, middle).withColumn("in", F.explode(F.array(*[F.struct(F.lit(k).alias("start"), c.alias("inside")) for k, c in enumerate(subsets)]))).select("lang", "source", *[f"x{i}" for i in range(P)], "in.*")
+    present, change = estimate(_moments(rows, F.col("inside")), consistency(H, P), "start"), None
+    for k in range(STEPS):
+        far = _located(fit, present)
+        limit = work.save(far.groupBy(*groups, F.col("start").alias("s")).agg(F.percentile_approx("d2", H, 2000).alias("limit")), f"limit{k}")
+        near = _with(far, limit).where(F.col("start") == F.col("s"))
+        last, present = present, estimate(_moments(near, F.col("d2") <= F.col("limit")), consistency(H, P), str(k))
+        was = last.select(F.col("start").alias("s"), F.col("g_lang").alias("l"), F.col("g_source").alias("t"), F.col("logdet").alias("was"))
+        both = present.join(was, (F.col("start") == F.col("s")) & F.col("g_lang").eqNullSafe(F.col("l")) & F.col("g_source").eqNullSafe(F.col("t")))
+        change = both.agg(F.max(F.abs(F.col("logdet") - F.col("was"))).alias("c")).first()["c"]
+        if change is None or change < SETTLED:
+            break
+    best = present.groupBy("g_lang", "g_source").agg(F.min_by(F.struct(*[c for c in present.columns if not c.startswith("g_")]), F.struct("logdet", "start")).alias("b"))
+    best = work.save(best.select("g_lang", "g_source", "b.*"), "best")
+    # reweighted: all documents within the 97.5 % limit
+    inside = _moments(_located(fit, best).withColumn("start", F.lit(0)), F.col("d2") <= chi2_quantile(0.975, P))
+    return estimate(inside, consistency(0.975, P), "final")
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """(doc_id, COUNTS, base_failed, kept, distance) per row of ``docs`` (doc_id, text, lang, source).
 
     Documents that fail the base limits are rejected and take no part in the estimates. Null text has no words. Null lang and source are
-    groups like others; groups of fewer than LEAST_GROUP documents use the estimate over all. Repeated rows count each. An empty
-    table gives no rows.
+    groups like others. Each group's estimate is drawn towards that over all groups with the weight of SHRINK documents, at every
+    size. Repeated rows count each. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark, "quality")
-    schema = ["g_lang string", "g_source string", "group_n long", *[f"m{i} double" for i in range(P)], *[f"w{i}_{j} double" for i, j in _PAIRS]]
-    base = work.save(document_counts(docs), "counts")
-    rows = with_stats(base)
-    fit = rows.where("NOT base_failed").select("lang", "source", *[f"x{i}" for i in range(P)])
-
-    def estimate(moments: DataFrame, scale: float, k: str) -> DataFrame:
-        return work.save(_pooled(moments).mapInPandas(_estimate(scale), ", ".join(schema)), f"estimate{k}")
-
-    def nearest(present: DataFrame, share: float) -> DataFrame:
-        """Moments of each group's ``share`` of documents nearest to its centre."""
-        far = _located(fit, present)
-        limit = far.groupBy(F.col("lang").alias("l_lang"), F.col("source").alias("l_source")).agg(F.percentile_approx("d2", share, 2000).alias("limit"))
-        both = far.join(limit, F.col("lang").eqNullSafe(F.col("l_lang")) & F.col("source").eqNullSafe(F.col("l_source")))
-        return _moments(both, F.col("d2") <= F.col("limit"))
-
-    # start: the nearest half by distance from the medians, each statistic by itself
-    mid = fit.groupBy(F.col("lang").alias("l_lang"), F.col("source").alias("l_source")).agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 2000).alias(f"c{i}") for i in range(P)])
-    start = fit.join(mid, F.col("lang").eqNullSafe(F.col("l_lang")) & F.col("source").eqNullSafe(F.col("l_source")))
-    spread = [F.greatest((F.col(f"c{i}")[2] - F.col(f"c{i}")[0]) / 1.349, F.lit(float(s))) for i, s in enumerate(STATS.values())]
-    near = sum((F.pow((F.col(f"x{i}") - F.col(f"c{i}")[1]) / spread[i], 2) for i in range(P)), F.lit(0.0)) <= chi2_quantile(H, P)
-    present = estimate(_moments(start, near), consistency(H, P), "0")
-    for k in range(STEPS):
-        present = estimate(nearest(present, H), consistency(H, P), str(k + 1))
-    # reweighted: all documents within the 97.5 % limit
-    inside = _moments(_located(fit, present), F.col("d2") <= chi2_quantile(0.975, P))
-    final = estimate(inside, consistency(0.975, P), "final")
-    out = _located(rows, final)
+    work = Workspace(docs.sparkSession, "quality")
+    rows = with_stats(work.save(document_counts(docs), "counts"))
+    final = estimates(rows.where("NOT base_failed").select("lang", "source", *[f"x{i}" for i in range(P)]), work)
+    out = _located(rows, final, "left")
     kept = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= chi2_quantile(1 - TAIL, P))
     return out.select("doc_id", *COUNTS, "base_failed", kept.alias("kept"), F.coalesce("d2", F.lit(0.0)).alias("distance2"))
 
