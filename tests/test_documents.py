@@ -132,7 +132,8 @@ def test_xinclude(spark):
 
 
 def test_events_equal_streamed_events(spark):
-    docs = ["<a b='1&amp;'>x&lt;<c xmlns:p='u'><p:d/></c><!-- k --><?p d?><![CDATA[z]]></a>", "<a><b></a></b>", "<a", "<?xml version='1.0'?><!DOCTYPE a [<!ENTITY x '>'>]>\r\n<a>l\r\nm</a>"]
+    docs = ["<a b='1&amp;'>x&lt;<c xmlns:p='u'><p:d/></c><!-- k --><?p d?><![CDATA[z]]></a>", "<a><b></a></b>", "<a", "<?xml version='1.0'?><!DOCTYPE a [<!ENTITY x '>'><!-- it's ] > --><?p ' ?>]>\r\n<a>l\r\nm</a>"]
+    docs += ["\ufeff<!----><?p  q\n?><a><!-- - -- --><![CDATA[]]]]><b   c='>'\r\n d=\"'\"/>&#65;&#x42;&unknown;&</a\r>\r<?q?>\n", "<a>1<b>2</b>3<!---></b>--></a>", "<a>" + "<b>&amp;</b>x" * 30 + "</a>"]
     batch = events.events(make(spark, *docs)).where("doc_id <> 2")
     want: dict = {}
     for r in batch.orderBy("doc_id", "seq").collect():
@@ -143,7 +144,7 @@ def test_events_equal_streamed_events(spark):
             parts = [doc[i : i + size] for i in range(0, len(doc), size)]
             for i, part in enumerate(parts):
                 m = events.Machine.of(m.state())
-                for _, event, name, _, text in m.feed(part, i == len(parts) - 1):
+                for _, event, name, _, text, _, _ in m.feed(part, i == len(parts) - 1):
                     if event == "characters" and got and got[-1][0] == "characters":
                         got[-1] = (event, None, got[-1][2] + text)
                     else:
@@ -154,6 +155,80 @@ def test_events_equal_streamed_events(spark):
                 assert got == want[k], (size, doc)
 
 
+@pytest.mark.parametrize("doc, line, col", [("<a>\n <b></c>", 2, 5), ("x", 1, 1), ("<a/>\r\n\r\n <b/>", 3, 2), ("<a>\n<!-", 2, 1), ("<a><![CDATA[\n]]><?xml ?></a>", 2, 4), ("<a><!DOCTYPE b></a>", 1, 4), ("<!DOCTYPE a <b>><a/>", 1, 1), ("<a x='1' x='2'/>", 1, 1), ("</a>", 1, 1), ("<!x>", 1, 1)])
+def test_errors_of_streams_have_a_place(doc, line, col):
+    for size in (1, 3, 100):
+        m, got = events.Machine(), []
+        for i in range(0, len(doc), size):
+            m = events.Machine.of(m.state())
+            got += m.feed(doc[i : i + size], i + size >= len(doc))
+        assert got[-1][1] == "error" and got[-1][5:] == (line, col) and sum(e[1] == "error" for e in got) == 1
+
+
+def test_machine_takes_small_chunks_in_linear_time():
+    import time
+
+    def took(n):
+        doc, m, t = "<a><!--" + "x" * n + "--><b c='" + "y" * n + "'/><![CDATA[" + "]" * n + "]]></a>", events.Machine(), time.perf_counter()
+        found = [e for i, ch in enumerate(doc) for e in m.feed(ch, i == len(doc) - 1)]
+        assert [len(e[4] or "") for e in found if e[1] in ("comment", "cdata")] == [n, n]
+        return time.perf_counter() - t
+
+    took(1000)
+    assert took(40_000) < 20 * took(5000)
+
+
+def test_streams_in_any_order_over_many_frames(spark):
+    """A document of thousands of one-character chunks, dealt over files without order, with some that come twice."""
+    doc = "<a>" + "".join(f"<b n='{i}'>t{i}</b>" for i in range(400)) + "</a>"
+    docs = spark.createDataFrame([(1, doc), (2, "<x>&lt;</x>")], "doc_id long, xml string")
+    chunks = events.chunked(docs, 1)
+    some = chunks.where("chunk_no % 100 = 3")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        got = events.stream_all(spark, chunks.union(some).repartition(8)).orderBy("stream_id", "seq").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    mine = [r for r in got if r.stream_id == 1]
+    assert [r.seq for r in mine] == list(range(1, len(mine) + 1))
+    assert [r.event for r in mine].count("start_element") == 401 and mine[-1].event == "end_document"
+    assert "".join(r.text for r in mine if r.event == "characters") == "".join(f"t{i}" for i in range(400))
+    assert [r.text for r in got if r.stream_id == 2 and r.event == "characters"] == ["<"]
+
+
+def test_chunks_wait_for_their_turn_and_abandoned_streams_end():
+    import pandas as pd
+
+    class State:
+        exists = hasTimedOut = False
+        waits = None
+
+        def update(self, value):
+            self.get, self.exists = value, True
+
+        def remove(self):
+            self.exists = False
+
+        def setTimeoutDuration(self, ms):  # noqa: N802
+            self.waits = ms
+
+    def feed(state, *chunks):
+        frame = pd.DataFrame(chunks, columns=["chunk_no", "data", "is_final"])
+        return [e for f in events._handler(5000)((7,), [frame], state) for e in f.event]
+
+    state = State()
+    assert feed(state, (1, "b/>", False)) == [] and state.waits == 5000
+    assert feed(state, (0, "<a><", False)) == ["start_document", "start_element", "start_element", "end_element"]
+    state.hasTimedOut = True
+    last = [f for f in events._handler(5000)((7,), [], state)][0]
+    assert last.event.tolist() == ["error"] and last.seq.tolist() == [5] and not state.exists
+    state = State()
+    assert feed(state, (0, "<a/>", True))[-1] == "end_document" and feed(state, (1, "<b/>", True)) == []
+    state.hasTimedOut = True
+    assert [len(f) for f in events._handler(5000)((7,), [], state)] == [0] and not state.exists
+
+
 def test_structured_streaming(spark):
     docs = spark.createDataFrame([(1, "<a><b>x</b></a>"), (2, "<a><b>")], "doc_id long, xml string")
     got = events.stream_all(spark, events.chunked(docs, 4)).groupBy("stream_id", "event").count().collect()

@@ -17,10 +17,11 @@ from xylem.session import Workspace
 
 _NAME = r"[^\s<>/!?=\"'&]+"
 _ATTRIBUTE = rf"\s+{_NAME}\s*+=\s*+(?:\"[^\"<]*+\"|'[^'<]*+')"
+DOCTYPE = r"<!DOCTYPE(?:[^\[<>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:\[(?:<!--(?s:.*?)-->|<\?(?s:.*?)\?>|\"[^\"]*+\"|'[^']*+'|[^\]\"'])*+\]\s*+)?+>"
 #: Alternatives in order; possessive loops, so that long tags need no stack. The last takes what fits nothing.
 TOKEN = (
     r"<!--(?s:.*?)-->|<!\[CDATA\[(?s:.*?)\]\]>|<\?(?s:.*?)\?>"
-    r"|<!DOCTYPE(?:[^\[<>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:\[(?:<!--(?s:.*?)-->|<\?(?s:.*?)\?>|\"[^\"]*+\"|'[^']*+'|[^\]\"'])*+\]\s*+)?+>"
+    rf"|{DOCTYPE}"
     rf"|</{_NAME}\s*+>|<{_NAME}(?:{_ATTRIBUTE})*+\s*+/?+>|[^<]++|<"
 )
 MAX_DEPTH = 256
