@@ -27,6 +27,8 @@ MAX_POSITIVE, MAX_CLEAN, MAX_UNLABELLED = 3000, 3000, 5000
 PREFIXES, LEAST_DOCS = (5, 6, 7, 9), 3
 #: Standard errors by which a feature must be more common in positive than in unlabelled documents.
 SURPRISE = 4.5
+#: Parts of the confirmed documents, each scored by weights learned without it, that the threshold is set on.
+FOLDS = 3
 THRESHOLD = 0.7
 
 
@@ -74,12 +76,9 @@ def _sample_features(batches):
             yield pa.record_batch([s.column("role"), s.column("drawn"), pa.array(out, pa.binary())], names=["role", "drawn", "features"])
 
 
-def train(roles: np.ndarray, rows: list[np.ndarray], prior: float, rounds: int = 200, rate: float = 0.05, l1: float = 2e-5, drawn: np.ndarray | None = None) -> dict:
-    """``roles``: 1 positive, 0 clean, -1 unlabelled; ``rows``: feature hashes, counted as often as they occur; ``prior``: the share of toxic text.
-
-    ``drawn`` flags the unlabelled set, which stands for all text: labels do not take a document out of it. Without it, the set is role -1.
-    """
-    positive, unlabelled = roles == 1, roles == -1 if drawn is None else drawn
+def learn(roles: np.ndarray, rows: list[np.ndarray], prior: float, unlabelled: np.ndarray, rounds: int = 200, rate: float = 0.05, l1: float = 2e-5) -> dict:
+    """Weights by the non-negative risk from positives (role 1) and the rows flagged ``unlabelled``; a row can be both."""
+    positive = roles == 1
     nothing = {"keys": np.zeros(0, np.uint64), "w": np.zeros(0), "b": -3.0}
     if not positive.any() or not unlabelled.any():
         return nothing
@@ -93,14 +92,7 @@ def train(roles: np.ndarray, rows: list[np.ndarray], prior: float, rounds: int =
     rate_all = (n_pos + n_un + 0.5) / (n1 + n2 + 1)
     surprise = (n_pos / n1 - n_un / n2) / np.sqrt(rate_all * (1 - rate_all) * (1 / n1 + 1 / n2))
     keys = keys[(n_pos >= LEAST_DOCS) & (surprise >= SURPRISE)]
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    flat_ = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
-    at = np.searchsorted(keys, flat_)
-    ok = np.zeros(len(flat_), bool)
-    if len(keys):
-        ok = keys[np.minimum(at, len(keys) - 1)] == flat_
-    doc, at = doc[ok], at[ok]
-    known = roles >= 0
+    doc, at = _known(keys, rows)
     w, b = np.zeros(len(keys)), -1.0
     m, v = np.zeros(len(keys) + 1), np.zeros(len(keys) + 1)
     for k in range(1, rounds + 1):
@@ -122,20 +114,49 @@ def train(roles: np.ndarray, rows: list[np.ndarray], prior: float, rounds: int =
         w = w - step[:-1]
         w = np.sign(w) * np.maximum(np.abs(w) - l1 * rate / (np.sqrt(v[:-1] / (1 - 0.999**k)) + 1e-6), 0)
         b -= step[-1]
-    z = b + np.bincount(doc, w[at], len(rows))
-    # the score 0.7 is put where confirmed documents are told apart best
-    if known.any() and (roles == 0).any():
-        weigh = np.where(positive, prior / positive.sum(), (1 - prior) / max((roles == 0).sum(), 1))
-        order = np.flatnonzero(known)[np.argsort(-z[known], kind="stable")]
-        tp, fp = np.cumsum(weigh[order] * positive[order]), np.cumsum(weigh[order] * ~positive[order])
-        f1 = 2 * tp / (tp + fp + prior)
-        best = int(f1.argmax())
-        cut = (z[order[best]] + (z[order[best + 1]] if best + 1 < len(order) else z[order[best]] - 1)) / 2
-        b += np.log(THRESHOLD / (1 - THRESHOLD)) - cut
     keep = w != 0
     return {"keys": keys[keep], "w": w[keep], "b": float(b)}
 
 
+def _known(keys: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Row number and place in ``keys`` of each feature of the rows that is there."""
+    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    flat_ = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
+    if not len(keys):
+        return doc[:0], np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(keys, flat_), len(keys) - 1)
+    ok = keys[at] == flat_
+    return doc[ok], at[ok]
+
+
+def train(roles: np.ndarray, rows: list[np.ndarray], prior: float, drawn: np.ndarray | None = None) -> dict:
+    """``roles``: 1 positive, 0 clean, -1 unlabelled; ``rows``: feature hashes, counted as often as they occur; ``prior``: the share of toxic text.
+
+    ``drawn`` flags the unlabelled set, which stands for all text: labels do not take a document out of it. Without it, the set is role -1.
+    The score 0.7 is put where confirmed documents are told apart best by weights that were learned without them, in FOLDS parts.
+    """
+    unlabelled = roles == -1 if drawn is None else drawn
+    model = learn(roles, rows, prior, unlabelled)
+    known = np.flatnonzero(roles >= 0)
+    if not len(model["w"]) or not (roles == 0).any():
+        return model
+    z = np.zeros(len(rows))
+    for part in range(FOLDS):
+        mine = known[np.arange(len(known)) % FOLDS == part]
+        rest = np.setdiff1d(np.arange(len(rows)), mine)
+        without = learn(roles[rest], [rows[i] for i in rest], prior, unlabelled[rest])
+        doc, at = _known(without["keys"], [rows[i] for i in mine])
+        z[mine] = without["b"] + np.bincount(doc, without["w"][at], len(mine))
+    positive = roles == 1
+    weigh = np.where(positive, prior / positive.sum(), (1 - prior) / (roles == 0).sum())
+    order = known[np.argsort(-z[known], kind="stable")]
+    tp, fp = np.cumsum(weigh[order] * positive[order]), np.cumsum(weigh[order] * ~positive[order])
+    f1 = np.where(np.r_[z[order[1:]] < z[order[:-1]], False], 2 * tp / (tp + fp + prior), 0.0)  # a cut lies between different scores
+    best = int(f1.argmax())
+    cut = (z[order[best]] + z[order[best + 1]]) / 2 if f1[best] > 0 else z[order[0]] + 1
+    return model | {"b": model["b"] + float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut)}
+
+
 def _fit(prior: float):
     def run(frames):
         held = [(r, d, np.frombuffer(x, np.uint64)) for f in frames for r, d, x in zip(f["role"], f["drawn"], f["features"])]
@@ -160,7 +181,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     roles = role(positive, MAX_POSITIVE, 1).union(role(clean, MAX_CLEAN, 0)).union(role(others, MAX_UNLABELLED, -1))
     # at most MAX_POSITIVE + MAX_CLEAN + MAX_UNLABELLED ids of 8 bytes: this side may always be broadcast
     roles = roles.groupBy("doc_id").agg(F.max("role").alias("role"), F.max("drawn").alias("drawn")).withColumnRenamed("doc_id", "of")
-    sample = docs.join(F.broadcast(roles), F.col("doc_id") == F.col("of")).select("role", "drawn", "text")
+    sample = docs.join(F.broadcast(roles), F.col("doc_id") == F.col("of"))
+    # one text of each id, however many rows repeat it
+    sample = sample.groupBy("of").agg(F.min_by(F.struct("role", "drawn", "text"), F.xxhash64("text")).alias("one")).select("one.*")
     rows = sample.mapInArrow(_sample_features, "role int, drawn boolean, features binary").repartition(1).mapInPandas(_fit(prior), "model string").first()
     with np.load(io.BytesIO(base64.b64decode(rows["model"]))) as z:
         return {k: z[k] for k in z.files}
