@@ -14,6 +14,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -31,7 +32,9 @@ VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 GZIP = b"\x1f\x8b\x08"
 #: A gzip member without content, as Latin-1 text.
 _EMPTY = "\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
-_MOST = 1 << 30  # bytes that a member is unpacked to at most: records beyond are quarantined
+#: Bytes of a record's block at most, as it becomes a value of a row (Spark's are below 2 GiB); a longer one is quarantined.
+RECORD_BYTES = 1 << 30
+_HOLD = 1 << 26  # bytes that a member is unpacked to as a whole; a longer one is unpacked twice, to check it and to read its records in turn
 _STEP = 1 << 13  # bytes of a member unpacked at a time
 
 
@@ -65,12 +68,23 @@ class Damage(Exception):
     """A failed check."""
 
 
+class Short(Damage):
+    """The data ends before the record does; ``need`` bytes would have it."""
+
+    def __init__(self, reason: str, need: int):
+        super().__init__(reason)
+        self.need = need
+
+
 def parse(data: bytes, at: int = 0) -> tuple[dict, bytes, int]:
     """The record that begins at ``at``: headers (lower case), block, and where it ends."""
     if not (m := VERSION.match(data, at)):
+        here = bytes(data[at : at + 10])
+        if b"WARC/1.0\r\n".startswith(here) or b"WARC/1.1\r\n".startswith(here):
+            raise Short("no version line", at + 10)
         raise Damage("no version line")
     if (end := data.find(b"\r\n\r\n", m.end() - 2)) < 0:
-        raise Damage("no end of header")
+        raise Short("no end of header", len(data) + 1)
     headers = {}
     for line in data[m.end() : end].split(b"\r\n"):
         name, colon, value = line.partition(b":")
@@ -80,48 +94,78 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, bytes, int]:
     if not re.fullmatch(r"\d{1,15}", headers.get("content-length", "")):
         raise Damage("no content length")
     start, size = end + 4, int(headers["content-length"])
+    if size > RECORD_BYTES:
+        raise Damage(f"the block is longer than {RECORD_BYTES} bytes")
+    if len(data) < start + size + 4:
+        raise Short("the block does not end where its length says", start + size + 4)
     if data[start + size : start + size + 4] != b"\r\n\r\n":
         raise Damage("the block does not end where its length says")
-    block = data[start : start + size]
+    block = bytes(data[start : start + size])
     kind, _, digest = headers.get("warc-block-digest", "").partition(":")
     if kind == "sha256" and hashlib.sha256(block).hexdigest() != digest:
         raise Damage("the block's digest differs")
     return headers, block, start + size + 4
 
 
-def unpack(data: bytes, at: int) -> tuple[bytes, int, str, bool]:
-    """What the gzip member at ``at`` unpacks to, where it ends or fails, the reason of a failure and whether a check failed, so that what was unpacked can be wrong."""
+def unpack(data: bytes, at: int) -> tuple[bytes | None, int, int, str, bool]:
+    """What the gzip member at ``at`` unpacks to (None if more than _HOLD bytes), how many bytes that is, where it ends or fails, the reason of a failure and whether a check failed, so that what was unpacked can be wrong."""
     unzip, parts, size, begin = zlib.decompressobj(31), [], 0, at
+
+    def keep(piece):
+        nonlocal size
+        size += len(piece)
+        if size <= _HOLD:
+            parts.append(piece)
+        else:
+            parts.clear()
+
+    reason, failed = "", False
     try:
         # by small steps: what follows a member is never copied as a whole
-        while not unzip.eof and at < len(data) and size <= _MOST:
+        while not unzip.eof and at < len(data):
             step = data[at : at + _STEP]
-            parts.append(unzip.decompress(step))
-            size += len(parts[-1])
+            keep(unzip.decompress(step))
             at += len(step)
+        end = at - len(unzip.unused_data)
+        reason = "" if unzip.eof else "gzip: the member is cut short"
     except zlib.error as e:
-        reason = f"gzip: {e}"
+        reason, failed = f"gzip: {e}", True
         # the failed step's content is lost: it is unpacked again, byte by byte
         unzip = zlib.decompressobj(31)
         try:
             for k in range(begin, at, _STEP):
                 unzip.decompress(data[k : k + _STEP])
             for at in range(at, min(at + _STEP, len(data))):  # noqa: B020
-                parts.append(unzip.decompress(data[at : at + 1]))
+                keep(unzip.decompress(data[at : at + 1]))
         except zlib.error:
             pass
-        return b"".join(parts), at, reason, True
-    reason = "" if unzip.eof else "gzip: the member is cut short" if size <= _MOST else "gzip: the member is too large"
-    return b"".join(parts), at - len(unzip.unused_data), reason, False
+        end = at
+    return b"".join(parts) if size <= _HOLD else None, size, end, reason, failed
 
 
-def _consumed(data: bytes, at: int, size: int) -> int:
-    """Up to where the member at ``at`` is read when its first ``size`` bytes are unpacked; more follow these."""
-    unzip = zlib.decompressobj(31)
+def _pieces(data: bytes, at: int, size: int) -> Iterator[tuple[bytes, int]]:
+    """The first ``size`` bytes that the member at ``at`` unpacks to, in pieces, and up to where each has read."""
+    unzip, width = zlib.decompressobj(31), _STEP
     while size > 0:
-        step = data[at : at + _STEP]
-        size -= len(unzip.decompress(step, size))
+        step, before = data[at : at + width], unzip.copy()
+        try:
+            piece = unzip.decompress(step, size)
+        except zlib.error:
+            if width == 1:
+                return
+            unzip, width = before, 1  # the wanted bytes come before what fails: byte by byte from here
+            continue
+        if not step and not piece:
+            return
         at += len(step) - len(unzip.unconsumed_tail)
+        size -= len(piece)
+        yield piece, at
+
+
+def _consumed(data: bytes, at: int, size: int) -> int:
+    """Up to where the member at ``at`` is read when its first ``size`` bytes are unpacked; more follow these."""
+    for _, at in _pieces(data, at, size):  # noqa: B020
+        pass
     return at
 
 
@@ -132,26 +176,43 @@ def _proven(headers: dict, block: bytes) -> bool:
     return kind == "sha256" or kind == "sha1" and digest.lower() in (sha1.hexdigest(), base64.b32encode(sha1.digest()).decode().lower())
 
 
-def _inside(content: bytes, doubtful: bool) -> list[tuple[int, int, dict | None, bytes, str]]:
-    """As salvage(), over the content of one member; of ``doubtful`` content only records that a digest proves are good."""
-    out, at, gap, reason = [], 0, None, ""
-    while at < len(content):
+def _inside(pieces: Iterator[bytes], doubtful: bool) -> Iterator[tuple[int, int, dict | None, bytes, str]]:
+    """As salvage(), over the content of one member, of which only the record that is being read is held; of ``doubtful`` content only records that a digest proves are good."""
+    held, base, at, gap, reason, more = bytearray(), 0, 0, None, "", True
+    need = 1
+    while True:
+        while more and len(held) < need:
+            piece = next(pieces, None)
+            more = piece is not None
+            held += piece or b""
+        if at >= len(held) and not more:
+            break
         try:
-            headers, block, end = parse(content, at)
+            headers, block, end = parse(held, at)
             if doubtful and not _proven(headers, block):
                 raise Damage("no digest proves this record of a damaged member")
         except Damage as e:
+            if isinstance(e, Short) and more:
+                need = max(e.need, len(held) + 1)
+                continue
             if gap is None:
-                gap, reason = at, str(e)
-            line = VERSION.search(content, at + 1)
-            at = line.start() if line else len(content)
-            continue
-        if gap is not None:
-            out.append((gap, at, None, b"", reason))
-            gap = None
-        out.append((at, end, headers, block, ""))
-        at = end
-    return out if gap is None else [*out, (gap, at, None, b"", reason)]
+                gap, reason = base + at, str(e)
+            line = VERSION.search(held, at + 1)
+            # the start of a version line can stand at the end of what has come
+            at = line.start() if line else max(at + 1, len(held) - 9) if more else len(held)
+        else:
+            if gap is not None:
+                yield gap, base + at, None, b"", reason
+                gap = None
+            yield base + at, base + end, headers, block, ""
+            at = end
+        if at > _HOLD // 8 or at >= len(held):
+            base += min(at, len(held))
+            del held[:at]
+            at = 0
+        need = at + 1
+    if gap is not None:
+        yield gap, base + at, None, b"", reason
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, bytes, str]]:
@@ -162,27 +223,39 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, bytes, str]]:
     """
     at, gap, reason = 0, None, ""
     while at < len(data):
-        end, why, found = None, "", []
+        end, why, found = None, "", iter(())
         if data.startswith(GZIP, at):
-            content, end, why, doubtful = unpack(data, at)
-            found = _inside(content, doubtful)
-            good = max((b for _, b, headers, _, _ in found if headers is not None), default=0)
-            if why and good:
-                # go on behind what the good records needed
-                end = end if good == len(content) else _consumed(data, at, good)
-            elif not good and (why or found):
-                end, why = None, why or found[0][4]
+            content, size, end, why, doubtful = unpack(data, at)
+            found = _inside(iter((content,)) if content is not None else (x for x, _ in _pieces(data, at, size)), doubtful)
+            # what comes before the first good record
+            before, first = [], None
+            for first in found:
+                if first[2] is not None:
+                    break
+                before.append(first)
+            if before and first is before[-1]:
+                first = None
+            if first is None and (why or before):
+                end, why = None, why or before[0][4]
+            elif first is not None:
+                found = chain(before, (first,), found)
         else:
             try:
                 headers, block, end = parse(data, at)
-                found = [(at, end, headers, block, "")]
+                found = iter(((at, end, headers, block, ""),))
             except Damage as e:
                 why = str(e)
         if end is not None:
             if gap is not None:
                 yield gap, at, None, b"", reason
                 gap = None
-            for a, b, headers, block, error in found:
+            good = 0
+            # of a member that fails, records and gaps reach to where its good records needed it
+            held = list(found) if why and content is not None else None
+            if why:
+                good = max(b for _, b, headers, _, _ in (held if held is not None else _inside((x for x, _ in _pieces(data, at, size)), doubtful)) if headers is not None)
+                end = end if good == size else _consumed(data, at, good)
+            for a, b, headers, block, error in held if held is not None else found:
                 yield at, end, headers, block, error and f"{error} (bytes {a} to {b} of the member's content)"
             if not why:
                 at = end
@@ -213,7 +286,8 @@ def write_pages(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES)
     """One record per row of ``pages`` (page_id, url, html); null html is empty, a null url is left out.
 
     Of equal payloads of ``revisit_bytes`` at least, the smallest page_id's is written; others revisit it. Rows that repeat a page_id are the
-    same capture and are written alike. A null page_id never comes first if another id has the payload.
+    same capture and are written alike. A null page_id never comes first if another id has the payload. Other columns are not written. An
+    empty table makes an archive without records.
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", "html", F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("size"))
@@ -253,7 +327,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Every record that can be saved, and every quarantined gap (``error`` not null: bytes start to end of a file were skipped).
 
     Columns: path, start, end, type, record_id, refers_to, uri, payload_bytes, payload_digest, payload, error. Digest and length are
-    of the payload as read; a revisit's are as recorded.
+    of the payload as read; a revisit's are as recorded. A file is one row of Spark's binary source, so archives are to be below 2 GiB each;
+    write_pages() makes one of each partition. No files give no rows.
     """
     schema = "path string, start long, end long, type string, record_id string, refers_to string, uri string, payload_bytes long, payload_digest string, payload binary, error string"
     return read_blobs(spark, path).mapInArrow(_read, schema)
