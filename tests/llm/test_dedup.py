@@ -125,20 +125,23 @@ def test_links_hidden_between_components_of_a_large_cluster(spark, monkeypatch):
 def test_a_near_copy_cluster_compares_about_as_many_blocks_as_it_has(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK_UNITS", 4)
     sizes = []
-    whole = near_dedup._compare
 
-    def counted(how):
-        seen = spark.sparkContext.accumulator(0)
-        sizes.append(seen)
-        run = whole(how)
+    def counted(whole):
+        def make(how):
+            seen = spark.sparkContext.accumulator(0)
+            sizes.append(seen)
+            run = whole(how)
 
-        def count(f):
-            seen.add(len(f))
-            return run(f)
+            def count(f):
+                seen.add(len(f))
+                return run(f)
 
-        return count
+            return count
 
-    monkeypatch.setattr(near_dedup, "_compare", counted)
+        return make
+
+    for name in ("_standing", "_crossing"):
+        monkeypatch.setattr(near_dedup, name, counted(getattr(near_dedup, name)))
     base = [f"w{i}" for i in range(150)]
     data = [(i, " ".join([*base, f"x{i}"])) for i in range(120)]
     got = near_dedup.verdicts(spark.createDataFrame(data, "doc_id long, text string"))

@@ -115,6 +115,34 @@ def test_packing_of_a_table_clustered_by_length(spark, shorts):
     assert got.sequence_id.nunique() <= 400 * 1.02
 
 
+def test_evolution_packs_triples_in_fewer_sequences_than_best_fit():
+    """Triples that fill a sequence to the last token: best fit of descending lengths wastes room, crossover of well-filled bins finds more of them."""
+    saved = []
+    for seed in range(4):
+        rng, lengths = random.Random(seed), []
+        for _ in range(40):
+            a = rng.randrange(1556, 2007)
+            b = rng.randrange((4096 - a) // 2, (4096 - a) // 2 + 40)
+            lengths += [a, b, 4096 - a - b]
+        rng.shuffle(lengths)
+        best_fit = packing.fresh(lengths, 4096, rng, 0.0)
+        labels = packing.pack(lengths)
+        assert np.bincount(labels, lengths).max() <= 4096
+        saved.append(len(best_fit.bins) - len(set(labels)))
+    assert min(saved) >= 0 and sum(saved) >= 4
+
+
+def test_islands_save_sequences_over_best_fit(spark):
+    rng, lengths = random.Random(5), []
+    for _ in range(20):
+        a = rng.randrange(98, 125)
+        b = rng.randrange((256 - a) // 2, (256 - a) // 2 + 4)
+        lengths += [a, b, 256 - a - b]
+    rng.shuffle(lengths)
+    got = packing.packed(spark.createDataFrame([(i, "the " * (n - 1)) for i, n in enumerate(lengths)], "doc_id long, text string"), capacity=256).toPandas()
+    assert sorted(got.length) == sorted(lengths) and got.sequence_id.nunique() < len(packing.fresh(lengths, 256, rng, 0.0).bins)
+
+
 def test_genetic_packing_reaches_the_bound():
     rng = np.random.default_rng(1)
     lengths = rng.integers(50, 2000, 400).tolist()
@@ -207,6 +235,32 @@ def test_secrets(spark):
         assert set(filter(None, text.split(","))) <= set(r.spans.split(","))
 
 
+def test_crf_adds_spans_that_patterns_miss_with_held_out_precision_and_recall():
+    """Trained on one half of the documents; the other half has made-up secrets in forms that no pattern takes."""
+    import pyarrow.parquet as pq
+
+    table = [r for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).to_pylist() if r["text"]]
+    model = secrets.train(*secrets.examples([r["text"] for r in table if r["doc_id"] % 2 == 0]))
+    rng = random.Random(99)
+    signs = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    forms = ("Authorization: Bearer {}", "pwd={}", "key: {}", "auth '{}'", 'private_key = "{}"', "credential {}")
+    texts, gold = [], []
+    for r in table:
+        if r["doc_id"] % 2:
+            text, value = r["text"], "7" + "".join(rng.choice(rng.choice(signs)) for _ in range(rng.choice((24, 32, 40))))
+            planted = rng.random() < 0.6
+            at = rng.choice([i for i, c in enumerate(text) if c == " "] or [len(text)])
+            texts.append(text[:at] + " " + rng.choice(forms).format(value) + text[at:] if planted else text)
+            gold.append((texts[-1].index(value), texts[-1].index(value) + len(value)) if planted else None)
+            assert not planted or not any(a < gold[-1][1] and gold[-1][0] < b for a, _, b in secrets.base_spans(texts[-1]))
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    spans = [x for out in secrets._scan(model)(iter([batch])) for x in out.column("spans").to_pylist()]
+    added = [[tuple(map(int, x.split(":")[1:])) for x in s.split(",") if x.startswith("crf:")] for s in spans]
+    right = [bool(g) and any(a < g[1] and g[0] < b for a, b in mine) for g, mine in zip(gold, added)]
+    wrong = sum(not (g and a < g[1] and g[0] < b) for g, mine in zip(gold, added) for a, b in mine)
+    assert sum(right) >= 0.85 * sum(map(bool, gold)) and wrong <= 0.05 * sum(map(len, added))
+
+
 def test_crf_finds_what_patterns_miss(spark):
     plain = [(i, "the quick brown fox jumps over the lazy dog and then sleeps 42 hours in 2024 " * 3, "en", "s") for i in range(300)]
     model = secrets.fit(spark.createDataFrame(plain, brute.SCHEMA))
@@ -272,6 +326,26 @@ def test_toxicity_clean_rows_only_set_the_threshold():
     assert len(some["keys"]) and some["keys"].tolist() == every["keys"].tolist() and np.allclose(some["w"], every["w"])
 
 
+def test_toxicity_threshold_is_set_on_scores_of_weights_learned_without_the_row():
+    rng = np.random.default_rng(9)
+    # positives share nothing but what clean rows have: weights learned in-sample tell them apart, those learned without them do not
+    rows_ = [rng.choice(400, 30, False).astype(np.uint64) for _ in range(400)]
+    roles = np.repeat([1, 0, -1], [60, 100, 240])
+    model = toxicity.train(roles, rows_, 0.1)
+    doc, at = toxicity._known(model["keys"], rows_)
+    z = model["b"] + np.bincount(doc, model["w"][at], len(rows_))
+    assert (1 / (1 + np.exp(-z[roles == -1])) >= toxicity.THRESHOLD).mean() < 0.1
+
+
+def test_toxicity_takes_one_text_of_an_id(spark, monkeypatch):
+    seen = []
+    real = toxicity._fit
+    monkeypatch.setattr(toxicity, "_fit", lambda prior: (seen.append(prior), real(prior))[1])
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(i, "other words") for i in range(2, 12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    assert toxicity.judged(docs, labels).count() == 60 and seen
+
+
 def test_toxicity_odd(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.judged(brute.odd(spark), none).collect()
@@ -308,8 +382,10 @@ def test_warc_salvage(packed):
     assert covered[0][0] == 0 and covered[-1][1] == len(data) and all(x[1] == y[0] for x, y in zip(covered, covered[1:]))
 
 
+@pytest.mark.parametrize("hold", [1 << 26, 5000])
 @pytest.mark.parametrize("level", [0, 6])
-def test_warc_salvage_inside_a_member(level):
+def test_warc_salvage_inside_a_member(level, hold, monkeypatch):
+    monkeypatch.setattr(warc, "_HOLD", hold)
     rng = np.random.default_rng(9)
     records = [warc.record(i, "u", "0", 20_000, rng.bytes(20_000)) for i in range(6)]
     broken = bytearray(records[2])

@@ -23,7 +23,9 @@ from xylem.session import Workspace
 
 CAPACITY = 4096
 #: Pieces in a problem; islands of a problem; epochs; generations in an epoch; packings on an island.
-PROBLEM, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2048, 2, 2, 3, 4
+PROBLEM, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2048, 2, 2, 8, 6
+#: Noise in the order of pieces from which an island's packings begin, by best fit.
+NOISES = (0.02, 0.05, 0.1, 0.2, 0.35, 0.5)
 #: Bins filled to less than this share go to the next level.
 WELL_FILLED = 0.999
 SEED = 11
@@ -150,7 +152,7 @@ def evolve(lengths: list[int], population: list[Packing], rng: random.Random, ge
 def pack(lengths: list[int], capacity: int = CAPACITY, seed: int = SEED) -> list[int]:
     """Bin of each piece, on one island: the algorithm without Spark."""
     rng = random.Random(seed)
-    population = [fresh(lengths, capacity, rng, n) for n in (0.0, 0.05, 0.2, 0.5)]
+    population = [fresh(lengths, capacity, rng, n) for n in (0.0, *NOISES[1:])]
     return evolve(lengths, population, rng, EPOCHS * GENERATIONS, POPULATION, capacity)[0].labels()
 
 
@@ -221,8 +223,12 @@ def _epoch(capacity: int, generations: int, size: int):
                     if r["migrant"]:
                         population.append(from_labels(lengths, capacity, r["migrant"]))
                 else:
-                    noises = [0.0 if r["island"] == 0 else 0.02, 0.05, 0.2, 0.5][:size]
-                    population = [fresh(lengths, capacity, rng, x) for x in noises[: 1 if -(-sum(lengths) // capacity) <= 1 else size]]
+                    noises = [0.0 if r["island"] == 0 else NOISES[0], *(NOISES[k % len(NOISES)] for k in range(1, size))]
+                    population = []
+                    for x in noises:  # more only where the first leaves room for them
+                        population.append(fresh(lengths, capacity, rng, x))
+                        if len(population[-1].bins) <= -(-sum(lengths) // capacity):
+                            break
                 population = evolve(lengths, population, rng, generations, size, capacity)
                 bins, fill = population[0].fitness()
                 labels = [p.labels() for p in population]
