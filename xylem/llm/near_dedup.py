@@ -5,13 +5,13 @@
    band keys. Units that share a key of a band are candidates; each bucket is a star around its smallest unit, never all pairs.
 3. Connected components of these stars (alternating large-star and small-star) are clusters: every link lies within one.
 4. In a cluster, signatures are compared first; pairs whose agreement could belong to a link are confirmed on full shingle sets.
-   Clusters are cut into blocks of bounded size by hash, and units are compared within their block; a comparison returns a
-   spanning forest of its links.
-5. Connected components of the confirmed links, again by alternating stars, are the groups. Clusters of one block are done. In a
-   larger one the smallest unit of each component so far stands for it in a next round of blocks, until a round leaves more than
-   half of them: so components grow together without pairs of blocks. Then only buckets that hold units of several components can
-   hide a link. There, units outside the cluster's largest component, in blocks, meet all blocks that share such a bucket;
-   units of one component are not compared again. Work grows with a cluster's size times its units outside the largest component.
+   Clusters are cut into blocks of bounded size by hash, and units are compared within their block. Clusters of one block are done. In a
+   larger one a unit of each linked set stands for it in a next round of blocks, until a round leaves more than half of them: so linked
+   sets grow together without pairs of blocks.
+5. Linked sets are components, but for links that buckets with units of several components can still hide. There, units outside the
+   cluster's largest component, in blocks, meet all blocks that share such a bucket; units of one component are not compared again, and
+   alternating stars join the components that such links connect. Work grows with a cluster's size times its units outside the largest
+   component.
 
 At the least similarity the bands miss a link with a chance below 3e-7, and a cluster compares more than its buckets.
 """
@@ -198,60 +198,73 @@ def linked_forest(sigs: list[np.ndarray], sets: list[np.ndarray], how: Settings,
     return out
 
 
-def _compare(how: Settings):
-    """Links of the units of a block (unit, sig, items) or, with ``minor`` and ``comp``, of a cell."""
+def _standing(how: Settings):
+    """(root, u, v) of each unit of a block (root, unit, sig, items): v stands for all that are linked with u in the block."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
-        cell = "minor" in f.columns
-        f = f.sort_values("minor", ascending=False, kind="stable").drop_duplicates("unit") if cell else f.drop_duplicates("unit")
-        if len(f) < 2:
-            return pd.DataFrame({"u": [], "v": []})
+        f = f.drop_duplicates("unit")
         units = f["unit"].tolist()
-        labels = (f["minor"].to_numpy(bool), pd.factorize(f["comp"])[0]) if cell else ()
-        links = linked_forest([np.frombuffer(x, np.uint32) for x in f["sig"]], [np.frombuffer(x, np.uint64) for x in f["items"]], how, *labels)
+        at = list(range(len(units)))
+        if len(units) > 1:
+            for i, j in linked_forest([np.frombuffer(x, np.uint32) for x in f["sig"]], [np.frombuffer(x, np.uint64) for x in f["items"]], how):
+                while at[i] != i:
+                    i = at[i]
+                while at[j] != j:
+                    j = at[j]
+                at[max(i, j)] = min(i, j)
+            for k in range(len(at)):
+                at[k] = at[at[k]]  # those before k are settled
+        return pd.DataFrame({"root": f["root"].to_numpy(), "u": units, "v": [units[i] for i in at]})
+
+    return run
+
+
+def _crossing(how: Settings):
+    """(u, v): links of a cell's ``minor`` units with units of other components (unit, comp, minor, sig, items)."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("minor", ascending=False, kind="stable").drop_duplicates("unit")
+        units = f["unit"].tolist()
+        links = linked_forest([np.frombuffer(x, np.uint32) for x in f["sig"]], [np.frombuffer(x, np.uint64) for x in f["items"]], how, f["minor"].to_numpy(bool), pd.factorize(f["comp"])[0]) if len(f) > 1 else []
         return pd.DataFrame({"u": [units[i] for i, _ in links], "v": [units[j] for _, j in links]})
 
     return run
 
 
 def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
-    """(node, root) of every node of ``edges`` (u, v): root is the smallest node reachable; large-star and small-star alternate until nothing changes.
+    """(node, root) of every node of ``edges`` (u, v): root is the smallest node reachable; large-star and small-star alternate until all are stars.
 
-    A node's smallest neighbour is a partial aggregate, written before it is joined back to the node's edges: joined straight to what it
+    A node's smallest neighbour is a partial aggregate, dealt anew before it is joined back to the node's edges: joined straight to what it
     was made of, it would share that side's partitions, which adaptive execution could not split where a node has very many edges.
     """
 
-    def smallest(e: DataFrame, phase: str) -> DataFrame:
-        return work.save(e.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")), f"{name}-{phase}")
+    def smallest(e: DataFrame) -> DataFrame:
+        # concat: an expression that changes nothing, but of whose partitioning the planner knows nothing either
+        return e.groupBy("u").agg(F.min("v").alias("m")).select(F.concat("u", F.lit(b"")).alias("n"), "m")
 
     e = work.save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-edges")
-    before = None
     while True:
         # large-star: larger neighbours of u go to the smallest of u and its neighbours
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = smallest(both, "nearest")
-        m = near.select("n", F.least("n", "m").alias("m"))
+        m = smallest(both).select("n", F.least("n", "m").alias("m"))
         large = both.where("v > u").join(m, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = work.save(large, f"{name}-large")
         work.drop(e)
-        work.drop(near)
         # small-star: u and its smaller neighbours go to the smallest of these
-        m = smallest(large, "least")
+        m = smallest(large)
         joined = large.join(m, F.col("u") == F.col("n"))
         e = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(m.select(F.col("n").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
         e = work.save(e, f"{name}-small")
         work.drop(large)
-        work.drop(m)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    # each node points at its root now, roots at nothing
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        # stars: each node points at one other, which points at none
+        ends = e.select(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(e.select("v", F.lit(0), F.lit(1)))
+        if not ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR out = 1 AND into = 1").head(1):
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _edges(linked: DataFrame) -> DataFrame:
-    return linked.select(F.col("node").alias("u"), F.col("root").alias("v"))
+def _renamed(linked: DataFrame, names: DataFrame) -> DataFrame:
+    """``linked`` (node, root) with roots u as ``names`` (u, v) has them."""
+    return linked.join(names, F.col("root") == F.col("u"), "left").select("node", F.coalesce("v", "root").alias("root"))
 
 
 def _share(size):
@@ -267,33 +280,32 @@ def _in_blocks(units: DataFrame, work: Workspace, name: str) -> tuple[DataFrame,
 
 
 def _linked(sets: DataFrame, bucketed: DataFrame, how: Settings, work: Workspace) -> DataFrame:
-    """(node, root) of every unit that is linked with any, from ``sets`` (unit, root: its cluster, sig, items) and its buckets."""
-    pair = "u binary, v binary"
-    placed, large = _in_blocks(sets, work, "blocks")
-    links = placed.select("root", "blk", "unit", "sig", "items").groupBy("root", "blk").applyInPandas(_compare(how), pair)
-    linked = work.save(components(links, work, "linked"), "linked")
+    """(node, root) of every unit of a cluster, root the same for all that are linked, from ``sets`` (unit, root: its cluster, sig, items) and its buckets."""
+    columns = ["root", "blk", "unit", "sig", "items"]
+
+    def round_(units: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        placed, large = _in_blocks(units, work, name)
+        return work.save(placed.select(*columns).groupBy("root", "blk").applyInPandas(_standing(how), "root binary, u binary, v binary"), name), large
+
+    stands, large = round_(sets, "standing")
+    linked = stands.select(F.col("u").alias("node"), F.col("v").alias("root"))
     if not large.head(1):
         return linked
     wide = work.save(sets.join(large.select("c"), F.col("root") == F.col("c"), "left_semi"), "wide")
-
-    def labelled() -> DataFrame:
-        """``wide`` with ``comp``, the smallest unit linked with each so far."""
-        named = linked.withColumnsRenamed({"node": "l_node", "root": "l_root"})
-        return wide.join(named, F.col("unit") == F.col("l_node"), "left").withColumn("comp", F.coalesce("l_root", "unit")).drop("l_node", "l_root")
-
-    before, turn, least = wide.count(), 0, large.count()
-    while True:
-        ones = labelled().where("unit = comp").drop("comp")
-        n = ones.count()
-        # the first round always runs; a later one only where the last has at least halved the components and there is more than one in some cluster
-        if turn and (2 * n > before or n <= least):
+    alone = stands.join(large.select("c"), F.col("root") == F.col("c"), "left_semi").where("u = v").select("u")
+    left, least = alone.count(), large.count()
+    while left > least:
+        stands, _ = round_(wide.join(alone, F.col("unit") == F.col("u"), "left_semi"), "standing")
+        linked = _renamed(linked, stands.select("u", "v"))
+        alone = stands.where("u = v").select("u")
+        before, left = left, alone.count()
+        if 2 * left > before:
             break
-        before, turn = n, turn + 1
-        placed, _ = _in_blocks(ones, work, f"ones{turn}")
-        more = placed.select("root", "blk", "unit", "sig", "items").groupBy("root", "blk").applyInPandas(_compare(how), pair)
-        linked = work.save(components(_edges(linked).union(more), work, f"linked{turn}"), "linked")
+    linked = work.save(linked, "linked")
     # what is left: buckets of several components
-    comps = work.save(labelled().select("unit", "root", "comp"), "components")
+    named = linked.withColumnsRenamed({"node": "l_node", "root": "comp"})
+    comps = wide.select("unit", "root").distinct().join(named, F.col("unit") == F.col("l_node")).select("unit", "root", "comp")
+    comps = work.save(comps, "components")
     seen = bucketed.select("band", "key", "unit").join(comps, "unit")
     mixed = work.save(seen.groupBy("band", "key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("band", "key"), "mixed")
     if not mixed.head(1):
@@ -312,11 +324,16 @@ def _linked(sets: DataFrame, bucketed: DataFrame, how: Settings, work: Workspace
     cells = work.save(here.join(there, ["band", "key"]).select("root", "i", "j").distinct(), "cells")
     full = units.join(count, F.col("root") == F.col("c"))
     full = work.save(full.select("root", "unit", "comp", "minor", F.when(F.col("minor"), block("n_minor")).alias("mine"), block("n_all").alias("any"), "sig", "items"), "cell-units")
-    columns = ["root", "i", "j", "unit", "comp", "minor", "sig", "items"]
+    columns, pair = ["root", "i", "j", "unit", "comp", "minor", "sig", "items"], "u binary, v binary"
     left = full.where("minor").join(cells.withColumnRenamed("i", "mine"), ["root", "mine"]).withColumnRenamed("mine", "i").select(*columns)
     right = full.join(cells.withColumnRenamed("j", "any"), ["root", "any"]).withColumnRenamed("any", "j").withColumn("minor", F.lit(False)).select(*columns)
-    more = left.union(right).groupBy("root", "i", "j").applyInPandas(_compare(how), pair)
-    return work.save(components(_edges(linked).union(more), work, "linked-all"), "linked")
+    more = work.save(left.union(right).groupBy("root", "i", "j").applyInPandas(_crossing(how), pair), "crossing")
+    if not more.head(1):
+        return linked
+    # links of units join components as wholes
+    ends = more.join(comps.select(F.col("unit").alias("a"), F.col("comp").alias("x")), F.col("u") == F.col("a")).join(comps.select(F.col("unit").alias("b"), F.col("comp").alias("y")), F.col("v") == F.col("b"))
+    joined = components(ends.select(F.col("x").alias("u"), F.col("y").alias("v")), work, "crossing")
+    return _renamed(linked, joined.select(F.col("node").alias("u"), F.col("root").alias("v")))
 
 
 def grouped(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
@@ -337,7 +354,7 @@ def grouped(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     stars = work.save(keyed.groupBy("band", "key").agg(F.min("unit").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1"), "stars")
     bucketed = work.save(keyed.join(stars, ["band", "key"]).select("band", "key", "unit", "centre"), "buckets")
     work.drop(keyed)
-    clusters = work.save(components(bucketed.select(F.col("unit").alias("u"), F.col("centre").alias("v")).distinct(), work, "clusters"), "clusters")
+    clusters = components(bucketed.select(F.col("unit").alias("u"), F.col("centre").alias("v")).distinct(), work, "clusters")
     members = clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct())
     # full sets of the candidates, from the text of one document each
     some = rows.where("n_shingles > 0").join(members, F.col("unit") == F.col("node"), "left_semi")
