@@ -31,7 +31,7 @@ from xylem.session import Workspace
 
 LENGTH, K = 400, 160
 #: Segments of a batch, about; most different segments of a seed that meet in one task; bytes of a text taken at once.
-BATCH, GROUP_MOST, PART = 4096, 8192, 1 << 22
+BATCH, GROUP_MOST, PART = 4096, 8192, 1 << 18
 
 _U = np.uint64
 _POSITION = 23
@@ -93,7 +93,7 @@ def _seed_rows(length: int, k: int):
 
     def run(batches):
         for batch in batches:
-            for s in slices(batch):
+            for s in slices(batch, most=PART):
                 raw, offs = flat(s.column("text"))
                 for at in range(0, max(len(raw), 1), PART) if s.num_rows == 1 else (0,):  # a very long text in overlapping parts
                     part, ends = (raw[at : at + PART + length - 1], None) if s.num_rows == 1 else (raw, offs)
@@ -291,7 +291,9 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, keep_bytes: b
     ranges = found_ranges[0]
     for more in found_ranges[1:]:
         ranges = ranges.union(more)
-    ranges = work.save(ranges.withColumnsRenamed({"of_fp": "f", "of_seg": "s"}), "ranges")
+    # one row per segment, with at most as many ranges as a seed has places
+    joined = F.aggregate(F.collect_list("ranges"), F.lit(b""), lambda a, x: F.concat(a, x))
+    ranges = work.save(ranges.groupBy(F.col("of_fp").alias("f"), F.col("of_seg").alias("s")).agg(joined.alias("ranges")), "ranges")
     whole = segments.where("copies > 1").select(F.col("fp").alias("f"), F.col("seg").alias("s"), F.lit(None).cast("binary").alias("ranges"))
     partly = ranges.join(whole.select("f", "s"), ["f", "s"], "left_anti")
     marks = whole.union(partly.select("f", "s", "ranges"))

@@ -32,7 +32,7 @@ class _Powers:
     @classmethod
     def of(cls, n: int):
         if len(cls.up) < n:
-            n = max(n, 1 << 21)
+            n = max(n, 2 * len(cls.up), 1 << 16)
             with np.errstate(over="ignore"):
                 cls.up = np.cumprod(np.r_[_U(1), np.full(n - 1, _R, np.uint64)], dtype=np.uint64)
                 cls.down = np.cumprod(np.r_[_U(1), np.full(n - 1, _RINV, np.uint64)], dtype=np.uint64)
