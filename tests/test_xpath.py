@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from xylem.plans import grammar
 from xylem.plans.grammar import XPathError, parse
 from xylem.plans.xpath import Engine, xpath
-from xylem.sources.shred import Shredded, shred
+from xylem.session import Workspace
+from xylem.sources.shred import Shredded, held, shred
 
 CATALOG = "<catalog>\n  <book id='b1'><title>A</title><price>10</price></book>\n  <book id='b2'><title>B</title><price>20</price></book>\n  <book id='b3'><title>C</title><price>30</price></book>\n</catalog>"
 MIXED = "<r xml:lang='en-GB'><!-- one --><!-- two -->x<?pi data?><a p='1'>5</a><b p='2'>7</b></r>"
@@ -16,7 +17,13 @@ SPACES = "<root xmlns='urn:d' xmlns:n='urn:n' n:q='1'><n:e a='1' n:a='2'/><e/><s
 @pytest.fixture(scope="module")
 def xml(spark):
     s = shred(spark.createDataFrame([(1, CATALOG), (2, MIXED), (3, SPACES)], "doc_id long, xml string"))
-    return Shredded(s.documents, s.nodes.cache(), s.ns_decls.cache())
+    return held(s, Workspace(spark, "test"))
+
+
+@pytest.fixture(scope="module")
+def joined(xml):
+    """The same collection without what rows know of attributes and text: everything goes by joins."""
+    return Shredded(xml.documents, xml.nodes.drop("attrs", "leaf"), xml.ns_decls)
 
 
 def values(xml, expression, doc, **options):
@@ -37,7 +44,7 @@ NODES = [
 SCALARS = [
     ("count(//*)", 1, 10.0), ("sum(//price)", 1, 60.0), ("count(//title/ancestor::*)", 1, 4.0), ("count(//book[1]/following::*)", 1, 6.0), ("count(//node())", 2, 9.0), ("count(/r/node())", 2, 6.0),
     ("1 div 0", 1, math.inf), ("-1 div 0", 1, -math.inf), ("substring('12345',1.5,2.6)", 1, "234"), ("substring('12345',0,3)", 1, "12"), ("substring('12345',0 div 0)", 1, ""), ("substring('12345',-42,1 div 0)", 1, "12345"),
-    ("normalize-space('  a \t\n b ')", 1, "a b"), ("translate('bar','abc','AB')", 1, "BAr"), ("translate('--aaa--','abc-','ABC')", 1, "AAA"), ("boolean(//nope)", 1, False), ("not(//book)", 1, False),
+    ("normalize-space('  a \t\n b ')", 1, "a b"), ("translate('bar','abc','AB')", 1, "BAr"), ("translate('--aaa--','abc-','ABC')", 1, "AAA"), ("translate(concat('a😀', 'bba'), concat('ab', 'a'), string(//price))", 1, "1😀001"), ("translate('bar', 'abc', //nope)", 1, "r"), ("boolean(//nope)", 1, False), ("not(//book)", 1, False),
     ("5 mod 2 = 1 and 7 > 3", 1, True), ("-5 mod 2", 1, -1.0), ("string(-0.5)", 1, "-0.5"), ("concat('a',1,true())", 1, "a1true"), ("round(-3.5)", 1, -3.0), ("round(2.5)", 1, 3.0), ("floor(-1.5)", 1, -2.0), ("ceiling(-1.5)", 1, -1.0),
     ("string-length(//title[1])", 1, 1.0), ("string(12345678)", 1, "12345678"), ("string(0.1)", 1, "0.1"), ("string(1 div 0)", 1, "Infinity"), ("string(0 div 0)", 1, "NaN"), ("number('1d')", 1, None), ("number(true())", 1, 1.0),
     ("starts-with('abc','')", 1, True), ("contains('abc','bc')", 1, True), ("substring-before('1999/04','/')", 1, "1999"), ("substring-after('1999/04','/')", 1, "04"), ("substring-after('x','y')", 1, ""),
@@ -81,6 +88,36 @@ def test_scalars(xml):
     assert got == {(e, d): w for e, d, w in cases}
 
 
+PREDICATES = [
+    "@id='b2'", "@id", "not(@id)", "@id != 'b2'", "@nope = 1", "@nope != 'x'", "@p + 1 = 6", "price > 15", "15 < price", "price != 20", "not(price > 15)", "price = 20 or @id='b1'", "title and price", "count(*) = 2", "count(price) = 1", "sum(price) > 15",
+    "string(price) = '20'", "concat(title, @id) = 'Bb2'", "translate(@id, 'b', title) = 'C3'", "contains(@id, '3')", "price = @id", "title = 'B'", ". = '5'", ". > 4", "position() = 2", "last() - 1", "position() = last() or @id='b1'", "price * 2 - 10 = 30",
+    "name() = 'book'", "local-name() = 'e'", "text() = 'x'", "starts-with(name(), 'n:')", "true() = @id", "@id = @id", "@n:a", "@a < 2", "-price < -15", "string-length(title) = 1", "floor(price div 7) = 2", "comment()", "price[. = 20]", "title = 'B' = true()",
+]
+
+
+def test_columns_of_rows_equal_joins(xml, joined):
+    """Predicates and scalars by both ways."""
+    paths = [f"//*[{p}]" for p in PREDICATES] + ["//price[. > 15]/@q | //price[. = 10]", "//title[. = 'A']/../@id", "//@p[. > 5]", "//book[1]", "//book[1]/price[. < 15]", "//*[2]/@id", "//text()[2]", "//comment()[last()]"]
+    scalars = ["concat(book/@id, '-', count(book))", "sum(book/price)", "count(book[price > 15])", "boolean(book)", "book/price = 20", "count(//price)", "string(//@p)", "a + b", "a = 5", "a", "count(a) + sum(b)", "normalize-space(comment())", "name()", "not(a < b)", "number(b) div a"]
+    for expressions in [paths[i : i + 10] for i in range(0, len(paths), 10)] + [scalars]:
+        found = []
+        for x in (xml, joined):
+            union = None
+            for e in expressions:
+                r = xpath(x, e)
+                one = r.select(F.lit(e).alias("e"), "doc_id", r["pre"] if "pre" in r.columns else F.lit(0).alias("pre"), F.col("value").cast("string").alias("value"))
+                union = one if union is None else union.union(one)
+            found.append(sorted(map(tuple, union.collect()), key=str))
+        assert found[0] == found[1]
+
+
+def test_predicates_over_rows_plan_no_join(xml):
+    engine = Engine(xml)
+    joins = lambda e: engine.node_set(parse(e), engine.contexts())._jdf.queryExecution().executedPlan().toString().count("Join")
+    assert [joins(e) for e in ("//book[@id='b2' and @id != 'x' or not(@q)]", "//price[. > 15]", "//book[2][@id]", "//book[price > 15]/@id")] == [0, 0, 0, 2]
+    assert "Join" not in xpath(xml, "//title")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_options(spark, xml):
     assert values(xml, "count(//x:e)", 3, namespaces={"x": "urn:n"}) == 1.0
     assert values(xml, "count(//e)", 3, match="local") == 3.0

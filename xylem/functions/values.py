@@ -70,6 +70,16 @@ def substring(s: Column, start: Column, length: Column | None = None) -> Column:
     return F.when(bad, "").otherwise(F.substring(s, F.when(bad, 1).otherwise(a.cast("int")), F.when(bad, 0).otherwise((b - a).cast("int"))))
 
 
+def translate(s: Column, old: Column, new: Column) -> Column:
+    """Each character of ``s`` that is in ``old`` becomes the one at its first place there in ``new``, or goes where ``new`` is shorter."""
+
+    def one(x):
+        at = F.instr(old, x)
+        return F.when(at == 0, x).when(at <= F.length(new), F.substring(new, at, F.lit(1))).otherwise("")
+
+    return F.array_join(F.transform(F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0)), one), "")
+
+
 def _utf16(cp: Column) -> Column:
     unit = lambda x: F.lpad(F.hex(x), 4, "0")
     high = F.lit(0xD800) + F.shiftright(cp - 0x10000, 10)
@@ -81,17 +91,23 @@ def _utf16(cp: Column) -> Column:
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&amp;": "&", "&quot;": '"', "&apos;": "'"}
 
 
-def unescape(s: Column, entities: dict[str, str] | None = None) -> Column:
-    """Character and entity references resolved; unknown ones stay as they are. A missing ``;`` after a number is forgiven."""
+def unescape(s: Column, entities: dict[str, str] | None = None, own: Column | None = None) -> Column:
+    """Character and entity references resolved; unknown ones stay as they are. A missing ``;`` after a number is forgiven.
+
+    ``own`` maps references ("&x;") of the row's document to their text; one without a text leaves all of them in ``s`` as they are.
+    """
     known = ENTITIES | {f"&{k};": v for k, v in (entities or {}).items()}
     table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
+    parts = F.regexp_extract_all(s, F.lit(r"&#x[0-9A-Fa-f]+;?|&#[0-9]+;?|&[^&;\s#<]+;|[^&]+|&"), 0)
+    if own is not None:
+        own = F.when(~F.exists(parts, lambda x: F.coalesce(F.map_contains_key(own, x), F.lit(False)) & F.element_at(own, x).isNull()), own)
 
     def one(x):
         cp = F.coalesce(F.conv(F.regexp_extract(x, r"^&#x([0-9A-Fa-f]{1,8})", 1), 16, 10).try_cast("long"), F.regexp_extract(x, r"^&#([0-9]{1,10})", 1).try_cast("long"))
         fine = cp.isNotNull() & (cp > 0) & (cp < 0x110000) & ~cp.between(0xD800, 0xDFFF)
-        return F.when(~x.startswith("&"), x).when(x.startswith("&#"), F.when(fine, _utf16(cp)).otherwise(x)).otherwise(F.coalesce(F.element_at(table, x), x))
+        named = F.coalesce(F.element_at(table, x), *([F.element_at(own, x)] if own is not None else []), x)
+        return F.when(~x.startswith("&"), x).when(x.startswith("&#"), F.when(fine, _utf16(cp)).otherwise(x)).otherwise(named)
 
-    parts = F.regexp_extract_all(s, F.lit(r"&#x[0-9A-Fa-f]+;?|&#[0-9]+;?|&[^&;\s#<]+;|[^&]+|&"), 0)
     return F.when(s.contains("&"), F.array_join(F.transform(parts, one), "")).otherwise(s)
 
 

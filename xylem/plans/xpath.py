@@ -3,6 +3,10 @@
 An axis is an equi-join on the document (and parent, where the axis allows) with an interval as residual; predicates are windows,
 semi- and anti-joins or filters; comparisons of node-sets hold if any pair does. Every evaluation has a context frame: one
 row per context with key ``k`` and node ``c_doc, c_pre, c_sub`` (and place ``c_pos`` of ``c_size`` within predicates).
+
+What depends on a node alone needs no context frame: predicates and expressions over the node's own value, its attributes (a map on element
+rows) and its children by name become columns of the node's row, the children's as aggregates per parent joined once. String-values of
+elements that hold nothing but text are in their rows (``leaf``); others are joined from the text below them.
 """
 
 from __future__ import annotations
@@ -32,10 +36,27 @@ _NUMBERS = {"last", "position", "count", "string-length", "number", "sum", "floo
 _BOOLEANS = {"starts-with", "contains", "boolean", "not", "true", "false", "lang"}
 
 
+_ARITHMETIC = {"+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y, "div": V.divide, "mod": V.modulo}
+_TURNED = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
+
+
 def supported_functions() -> list[str]:
     return sorted(_ARITY)
 
 
+@dataclass
+class Cell:
+    """An expression as a column of a node's row: number, string or boolean; node (a string, null where there is none); or kids (a step).
+
+    ``fixed`` columns are the same in all rows.
+    """
+
+    type: str
+    column: Column | None
+    fixed: bool = False
+    step: G.Step | None = None
+
+
 @dataclass
 class Value:
     """A scalar: its type (number, string, boolean), the context frame that it belongs to, and its column there."""
@@ -60,9 +81,9 @@ class Engine:
     def __init__(self, xml: Shredded, variables: dict | None = None, functions: dict[str, Callable] | None = None, namespaces: dict[str, str] | None = None, match: str = "prefix"):
         self.xml, self.variables, self.functions, self.namespaces, self.match = xml, variables or {}, functions or {}, namespaces, match
         nodes = xml.nodes.withColumn("sub", F.lit(0))
-        self.extra = ["ns_uri"] if namespaces is not None else []
-        if self.extra:
+        if namespaces is not None:
             nodes = with_namespaces(nodes, xml.ns_decls)
+        self.extra = [c for c in ("ns_uri", "attrs", "leaf") if c in nodes.columns]
         self.columns = NODE + self.extra
         self.nodes = nodes.select(*self.columns)
         self._n = 0
@@ -75,8 +96,13 @@ class Engine:
 
     def contexts(self) -> DataFrame:
         """One context per document: its root element."""
-        root = self.nodes.where("parent_pre = 0 AND kind = 'element'")
-        return root.select(F.col("doc_id").alias("k"), F.col("doc_id").alias("c_doc"), F.col("pre").alias("c_pre"), F.col("sub").alias("c_sub"), F.lit(1).alias("c_pos"), F.lit(1).alias("c_size"))
+        ctx = self._roots().select("k", F.col("doc_id").alias("c_doc"), F.col("pre").alias("c_pre"), F.col("sub").alias("c_sub"), F.lit(1).alias("c_pos"), F.lit(1).alias("c_size"))
+        ctx._at = self._roots()
+        ctx._documents = True
+        return ctx
+
+    def _roots(self) -> DataFrame:
+        return self.nodes.where("parent_pre = 0 AND kind = 'element'").select(F.col("doc_id").alias("k"), *self.columns)
 
     def type_of(self, e) -> str:
         if isinstance(e, (G.Path, G.Filter)) or isinstance(e, G.Binary) and e.op == "|":
@@ -103,11 +129,12 @@ class Engine:
 
     # ---- node-sets
 
-    def node_set(self, e, ctx: DataFrame, top: bool = False) -> DataFrame:
+    def node_set(self, e, ctx: DataFrame) -> DataFrame:
         """(k, NODE) of the nodes that ``e`` gives in each context, each once."""
         ctx = _base(ctx)
+        top = getattr(ctx, "_documents", False)
         if isinstance(e, G.Binary) and e.op == "|":
-            return self.node_set(e.left, ctx, top).unionByName(self.node_set(e.right, ctx, top)).dropDuplicates(["k", "doc_id", "pre", "sub"])
+            return self.node_set(e.left, ctx).unionByName(self.node_set(e.right, ctx)).dropDuplicates(["k", "doc_id", "pre", "sub"])
         if isinstance(e, G.Variable):
             v = self.variables[e.name].select("doc_id", "pre")
             picked = self.nodes.join(v.withColumnsRenamed({"doc_id": "v_doc", "pre": "v_pre"}), (F.col("doc_id") == F.col("v_doc")) & (F.col("pre") == F.col("v_pre")), "left_semi")
@@ -115,15 +142,18 @@ class Engine:
         if isinstance(e, G.Call) and e.name == "id":
             return self._ids(e.args[0], ctx)
         if isinstance(e, G.Filter):
-            found = self.node_set(e.of, ctx, top)
+            found = self.node_set(e.of, ctx)
             for p in e.predicates:
-                found = self._predicate(found.withColumn("o", F.lit(0)), p, False)
+                found = self._predicate(found.withColumn("o", F.lit(0)), p, False, self.leafy(e.of))
             return found.select("k", *self.columns)
         if not isinstance(e, G.Path):
             raise XPathError("a node-set is wanted here")
         steps = list(e.steps)
         if e.start == "root":
-            if top and steps:
+            if top and len(steps) > 1 and steps[0] == G.Step("descendant-or-self", G.Test("node")) and steps[1].axis in ("child", "attribute"):
+                found = self._of_any(steps[1])
+                steps = steps[2:]
+            elif top and steps:
                 found = self._from_documents(steps.pop(0))
             else:
                 found = ctx.select("k", "c_doc").join(self.nodes.where("kind = 'document'"), F.col("c_doc") == F.col("doc_id")).select("k", *self.columns)
@@ -135,13 +165,27 @@ class Engine:
                     steps.pop(0)
                 found = self._at(ctx)
         else:
-            found = self.node_set(e.start, ctx, top)
+            found = self.node_set(e.start, ctx)
         for s in steps:
             found = self._step(found, s)
         return found.select("k", *self.columns)
 
+    def leafy(self, e) -> bool:
+        """Whether all nodes that ``e`` gives surely have their string-value in their row."""
+        if isinstance(e, G.Step):
+            t = e.test
+            plain = t.kind == "name" and t.name != "*" and self.xml.complex_names is not None and t.name not in self.xml.complex_names and "leaf" in self.extra
+            return e.axis in ("attribute", "namespace") or t.kind in ("text", "comment", "pi") or plain
+        if isinstance(e, G.Binary):
+            return e.op == "|" and self.leafy(e.left) and self.leafy(e.right)
+        if isinstance(e, G.Filter):
+            return self.leafy(e.of)
+        return isinstance(e, G.Path) and bool(e.steps) and self.leafy(e.steps[-1])
+
     def _at(self, ctx: DataFrame) -> DataFrame:
         """The context nodes themselves."""
+        if (rows := getattr(ctx, "_at", None)) is not None:
+            return rows
         return ctx.select("k", "c_doc", "c_pre").join(self.nodes, (F.col("c_doc") == F.col("doc_id")) & (F.col("c_pre") == F.col("pre"))).select("k", *self.columns)
 
     def _from_documents(self, step: G.Step) -> DataFrame:
@@ -157,9 +201,16 @@ class Engine:
             found = tested.where("kind = 'document'")
         else:
             found = tested.where("false")
-        found = found.withColumn("k", F.col("doc_id")).withColumn("o", F.lit(0))
+        return self._chosen(found.withColumn("k", F.col("doc_id")).withColumn("o", F.lit(0)), step)
+
+    def _of_any(self, step: G.Step) -> DataFrame:
+        """``//child`` with places within each parent: every node has one parent, so no join either."""
+        found = self._test(step).where("kind = 'attribute'" if step.axis == "attribute" else "kind NOT IN ('attribute', 'document')")
+        return self._chosen(found.withColumn("k", F.col("doc_id")).withColumn("o", F.col("parent_pre")), step)
+
+    def _chosen(self, found: DataFrame, step: G.Step) -> DataFrame:
         for p in step.predicates:
-            found = self._predicate(found, p, False)
+            found = self._predicate(found, p, step.axis in REVERSE, self.leafy(step))
         return found.select("k", *self.columns)
 
     def _test(self, step: G.Step) -> DataFrame:
@@ -211,9 +262,7 @@ class Engine:
             }
             table, condition = axis[step.axis]
             found = c.join(table, same & condition).withColumn("o", F.col("c_pre"))
-        for p in step.predicates:
-            found = self._predicate(found, p, step.axis in REVERSE)
-        found = found.select("k", *self.columns)
+        found = self._chosen(found, step)
         if step.axis in ("child", "attribute", "self"):  # a node has one parent: nothing repeats
             return found
         return found.dropDuplicates(["k", "doc_id", "pre", "sub"])
@@ -232,11 +281,11 @@ class Engine:
             both = both.where("false")
         sub = F.row_number().over(Window.partitionBy("k", "c_doc", "c_pre").orderBy("d_prefix"))
         null = F.lit(None).cast("string")
-        return both.select("k", F.col("c_pre").alias("o"), F.col("c_doc").alias("doc_id"), F.col("c_pre").alias("pre"), sub.alias("sub"), F.col("c_pre").alias("last"), (F.col("c_level") + 1).alias("level"), F.col("c_pre").alias("parent_pre"), F.lit("namespace").alias("kind"), F.col("d_prefix").alias("name"), null.alias("prefix"), F.col("uri").alias("value"), *[null.alias(x) for x in self.extra])
+        return both.select("k", F.col("c_pre").alias("o"), F.col("c_doc").alias("doc_id"), F.col("c_pre").alias("pre"), sub.alias("sub"), F.col("c_pre").alias("last"), (F.col("c_level") + 1).alias("level"), F.col("c_pre").alias("parent_pre"), F.lit("namespace").alias("kind"), F.col("d_prefix").alias("name"), null.alias("prefix"), F.col("uri").alias("value"), *[F.lit(None).cast(self.nodes.schema[x].dataType).alias(x) for x in self.extra])
 
     def _ids(self, e, ctx: DataFrame) -> DataFrame:
         if self.type_of(e) == "nodes":
-            found = self.string_values(self.node_set(e, ctx))
+            found = self.string_values(self.node_set(e, ctx), self.leafy(e))
             wanted = found.select("k", F.col("doc_id").alias("w_doc"), F.col("sv").alias("ids"))
         else:
             v = self.string(e, ctx)
@@ -246,10 +295,11 @@ class Engine:
         hit = wanted.join(marks, (F.col("w_doc") == F.col("a_doc")) & (F.col("id") == F.col("a_id"))).select("k", "a_doc", "a_pre").distinct()
         return hit.join(self.nodes, (F.col("a_doc") == F.col("doc_id")) & (F.col("a_pre") == F.col("pre"))).select("k", *self.columns)
 
-    def _predicate(self, found: DataFrame, p, reverse: bool) -> DataFrame:
-        """``found`` (k, o: origin, NODE) filtered by one predicate; places count anew within each origin."""
+    def _predicate(self, found: DataFrame, p, reverse: bool, leafy: bool = False) -> DataFrame:
+        """``found`` (k, o: origin, NODE) filtered by one predicate; places count anew within each origin. ``leafy``: all string-values are in the rows."""
         order = [F.col("pre").desc(), F.col("sub").desc()] if reverse else ["pre", "sub"]
-        if G.positional(p) or self.type_of(p) == "number":
+        placed = G.positional(p) or self.type_of(p) == "number"
+        if placed:
             w = Window.partitionBy("k", "o", "doc_id")
             found = found.withColumn("pos", F.row_number().over(w.orderBy(*order))).withColumn("size", F.count(F.lit(1)).over(w))
             if isinstance(p, G.Number):
@@ -258,10 +308,16 @@ class Engine:
         else:  # depends on the node alone
             found = found.withColumn("pos", F.lit(1)).withColumn("size", F.lit(1))
             key = F.struct("doc_id", "pre", "sub")
+        kids: dict = {}
+        if (cell := self._cell(p, leafy, kids)) is not None:
+            good = F.col("pos").cast("double") == cell.column if cell.type == "number" else self._as_boolean(cell, kids)
+            return self._with_kids(found, kids).where(good).select(*[c for c in found.columns if c not in ("pos", "size")])
         mine = found.withColumn("kk", key)
         ctx = mine.select(F.col("kk").alias("k"), F.col("doc_id").alias("c_doc"), F.col("pre").alias("c_pre"), F.col("sub").alias("c_sub"), F.col("pos").alias("c_pos"), F.col("size").alias("c_size"))
-        if not G.positional(p):
-            ctx = ctx.distinct()
+        rows = mine.select(F.col("kk").alias("k"), *self.columns)
+        if not placed:
+            ctx, rows = ctx.distinct(), rows.dropDuplicates(["k"])
+        ctx._at = rows
         if self.type_of(p) == "number":
             v = self.number(p, ctx)
             good, how = v.frame.where(F.col("c_pos").cast("double") == v.column), "left_semi"
@@ -275,18 +331,161 @@ class Engine:
         g = self.fresh("g")
         return mine.join(good.select(F.col("k").alias(g)), F.col("kk") == F.col(g), how).drop("kk", "pos", "size")
 
+    # ---- expressions as columns of a node's row
+
+    def _cell(self, e, leafy: bool, kids: dict) -> Cell | None:
+        """``e`` for the node of a row, or None if it takes more than the row, its attributes and aggregates of its children.
+
+        ``kids`` gathers the aggregates: (axis, test) to a list of (name, aggregate).
+        """
+        sub = lambda x: self._cell(x, leafy, kids)
+        if isinstance(e, (G.Number, G.Literal)):
+            return Cell("number" if isinstance(e, G.Number) else "string", F.lit(e.value), True)
+        if isinstance(e, G.Variable):
+            kind, v = self.type_of(e), self.variables[e.name]
+            return None if kind == "nodes" else Cell(kind, v if isinstance(v, Column) else F.lit(float(v) if kind == "number" else v), not isinstance(v, Column))
+        if isinstance(e, G.Path):
+            return self._path_cell(e, leafy)
+        if isinstance(e, G.Negate):
+            v = self._as_number(sub(e.of), kids)
+            return None if v is None else Cell("number", -v)
+        if isinstance(e, G.Binary) and e.op != "|":
+            a, b = sub(e.left), sub(e.right)
+            return None if a is None or b is None else self._binary_cell(e.op, a, b, kids)
+        if isinstance(e, G.Call):
+            self.type_of(e)
+            return self._call_cell(e, leafy, kids)
+        return None
+
+    def _path_cell(self, e: G.Path, leafy: bool) -> Cell | None:
+        if e.start != "context":
+            return None
+        if e.steps in ((), (G.Step("self", G.Test("node")),)):
+            own = F.coalesce(F.col("leaf") if "leaf" in self.extra else F.lit(None), F.col("value"), F.lit(""))
+            return Cell("node", own) if leafy else None
+        if len(e.steps) > 1 or e.steps[0].predicates:
+            return None
+        step = e.steps[0]
+        t = step.test
+        if step.axis == "attribute" and t.kind == "name" and t.name != "*" and self.namespaces is None and self.match == "prefix" and "attrs" in self.extra:
+            return Cell("node", F.element_at("attrs", f"{t.prefix}:{t.name}" if t.prefix else t.name))
+        return Cell("kids", None, step=step) if step.axis in ("child", "attribute") and t.kind != "node" else None
+
+    def _of_kids(self, step: G.Step, kids: dict, aggregate: Column, default=None) -> Column:
+        name = self.fresh("kid")
+        kids.setdefault((step.axis, step.test), []).append((name, aggregate))
+        return F.col(name) if default is None else F.coalesce(F.col(name), F.lit(default))
+
+    def _with_kids(self, found: DataFrame, kids: dict) -> DataFrame:
+        """``found`` with the aggregates of its elements' children: partial sums, never lists."""
+        for (axis, test), wanted in kids.items():
+            n = self._test(G.Step(axis, test)).where("kind = 'attribute'" if axis == "attribute" else "kind NOT IN ('attribute', 'document')")
+            sv = F.coalesce("leaf", "value", F.lit("")) if "leaf" in self.extra else F.coalesce("value", F.lit(""))
+            doc, pre = self.fresh("kid_doc"), self.fresh("kid_pre")
+            n = n.withColumn("sv", sv).groupBy(F.col("doc_id").alias(doc), F.col("parent_pre").alias(pre)).agg(*[a.alias(name) for name, a in wanted])
+            found = found.join(n, (F.col("doc_id") == F.col(doc)) & (F.when(~F.col("kind").isin("attribute", "namespace"), F.col("pre")) == F.col(pre)), "left")
+        return found
+
+    def _as_boolean(self, c: Cell | None, kids: dict) -> Column | None:
+        if c is None:
+            return None
+        if c.type == "kids":
+            return self._of_kids(c.step, kids, F.max(F.lit(True)), False)
+        return {"boolean": lambda x: x, "number": V.number_to_boolean, "string": lambda x: x != "", "node": lambda x: x.isNotNull()}[c.type](c.column)
+
+    def _as_string(self, c: Cell | None, kids: dict) -> Column | None:
+        if c is None or c.type == "kids" and not self.leafy(c.step):
+            return None
+        if c.type == "kids":
+            return self._of_kids(c.step, kids, F.min_by("sv", "pre"), "")
+        return {"string": lambda x: x, "number": V.number_to_string, "boolean": V.boolean_to_string, "node": lambda x: F.coalesce(x, F.lit(""))}[c.type](c.column)
+
+    def _as_number(self, c: Cell | None, kids: dict) -> Column | None:
+        if c is not None and c.type in ("number", "boolean"):
+            return c.column if c.type == "number" else c.column.cast("int").cast("double")
+        text = self._as_string(c, kids)
+        return None if text is None else V.to_number(text)
+
+    def _binary_cell(self, op: str, a: Cell, b: Cell, kids: dict) -> Cell | None:
+        if op in ("and", "or"):
+            x, y = self._as_boolean(a, kids), self._as_boolean(b, kids)
+            return Cell("boolean", x & y if op == "and" else x | y)
+        if op in _ARITHMETIC:
+            x, y = self._as_number(a, kids), self._as_number(b, kids)
+            return None if x is None or y is None else Cell("number", _ARITHMETIC[op](x, y), a.fixed and b.fixed)
+        many = ("node", "kids")
+        if a.type in many and b.type in many and "kids" in (a.type, b.type):
+            return None
+        if b.type in many and a.type not in many:
+            a, b, op = b, a, _TURNED.get(op, op)
+        if a.type in many and b.type != "boolean":
+            by_text = op in ("=", "!=") and b.type in ("string", "node")
+
+            def holds(sv):
+                if by_text:
+                    return sv == b.column if op == "=" else sv != b.column
+                return V.compare(op, V.to_number(sv), b.column if b.type == "number" else V.to_number(b.column))
+
+            if a.type == "kids":
+                return Cell("boolean", self._of_kids(a.step, kids, F.max(holds(F.col("sv"))), False)) if b.fixed and self.leafy(a.step) else None
+            there = a.column.isNotNull() & b.column.isNotNull() if b.type == "node" else a.column.isNotNull()
+            return Cell("boolean", F.coalesce(there & holds(a.column), F.lit(False)))
+        if op in ("=", "!=") and "boolean" in (a.type, b.type):
+            x, y = self._as_boolean(a, kids), self._as_boolean(b, kids)
+            return Cell("boolean", x == y if op == "=" else x != y)
+        if op in ("=", "!=") and "number" not in (a.type, b.type):
+            x, y = self._as_string(a, kids), self._as_string(b, kids)
+            return Cell("boolean", x == y if op == "=" else x != y)
+        logical = lambda c: Cell("boolean", self._as_boolean(c, kids)) if c.type in many else c
+        return Cell("boolean", V.compare(op, self._as_number(logical(a), kids), self._as_number(logical(b), kids)))
+
+    def _call_cell(self, e: G.Call, leafy: bool, kids: dict) -> Cell | None:
+        name = e.name
+        args = [self._cell(a, leafy, kids) for a in e.args]
+        if name in ("true", "false"):
+            return Cell("boolean", F.lit(name == "true"), True)
+        if name in ("position", "last"):
+            return Cell("number", F.col("pos" if name == "position" else "size").cast("double"))
+        if name in ("local-name", "name") and not args:
+            local = F.coalesce("name", F.lit(""))
+            return Cell("string", F.concat_ws(":", "prefix", local) if name == "name" else local)
+        if name in ("id", "lang", "namespace-uri", "local-name", "name") or any(a is None for a in args):
+            return None
+        if name in ("count", "sum"):
+            if args[0].type != "kids" or name == "sum" and not self.leafy(args[0].step):
+                return None
+            return Cell("number", self._of_kids(args[0].step, kids, F.count(F.lit(1)).cast("double") if name == "count" else F.sum(V.to_number(F.col("sv"))), 0.0))
+        args = args or ([] if name in self.functions else [self._path_cell(G.Path("context", ()), leafy)])
+        if any(a is None for a in args):
+            return None
+        if name in ("boolean", "not"):
+            v = self._as_boolean(args[0], kids)
+            return Cell("boolean", v if name == "boolean" else ~v)
+        numbers = name in ("number", "floor", "ceiling", "round")
+        columns = [(self._as_number if numbers or name == "substring" and i else self._as_string)(a, kids) for i, a in enumerate(args)]
+        if any(c is None for c in columns):
+            return None
+        if numbers:
+            return Cell("number", columns[0] if name == "number" else V.rounded(name, columns[0]))
+        if name == "string":
+            return Cell("string", columns[0])
+        return Cell(*self._text_function(e, columns))
+
     # ---- string-values
 
-    def string_values(self, found: DataFrame) -> DataFrame:
-        """``found`` with ``sv``: all text below an element or document, or the node's own value."""
-        inner = found.where("kind IN ('element', 'document')")
+    def string_values(self, found: DataFrame, leafy: bool = False) -> DataFrame:
+        """``found`` with ``sv``: all text below an element or document, or the node's own value. ``leafy``: every row has it already."""
+        leaf = F.col("leaf") if "leaf" in self.extra else F.lit(None).cast("string")
+        if leafy:
+            return found.withColumn("sv", F.coalesce(leaf, "value", F.lit("")))
+        inner = found.where("kind IN ('element', 'document')").where(leaf.isNull())
         nodes = inner.select(F.col("doc_id").alias("s_doc"), F.col("pre").alias("s_pre"), F.col("last").alias("s_last")).distinct()
         text = self.nodes.where("kind IN ('text', 'cdata')").select("doc_id", "pre", "value")
         joined = nodes.join(text, (F.col("s_doc") == F.col("doc_id")) & (F.col("pre") > F.col("s_pre")) & (F.col("pre") <= F.col("s_last")))
         parts = F.array_sort(F.collect_list(F.struct("pre", "value")))
         sv = joined.groupBy("s_doc", "s_pre").agg(F.array_join(F.transform(parts, lambda x: x["value"]), "").alias("sv"))
         out = found.join(sv, (F.col("doc_id") == F.col("s_doc")) & (F.col("pre") == F.col("s_pre")) & (F.col("sub") == 0), "left")
-        return out.withColumn("sv", F.when(F.col("kind").isin("element", "document"), F.coalesce("sv", F.lit(""))).otherwise(F.coalesce("value", F.lit("")))).drop("s_doc", "s_pre")
+        return out.withColumn("sv", F.when(F.col("kind").isin("element", "document"), F.coalesce(leaf, "sv", F.lit(""))).otherwise(F.coalesce("value", F.lit("")))).drop("s_doc", "s_pre")
 
     def _first(self, found: DataFrame) -> DataFrame:
         """The first node of each context, in document order."""
@@ -323,7 +522,7 @@ class Engine:
 
     def string(self, e, ctx: DataFrame) -> Value:
         if self.type_of(e) == "nodes":
-            frame, column = self._attach(ctx, self.string_values(self._first(self.node_set(e, ctx))), "sv", "")
+            frame, column = self._attach(ctx, self.string_values(self._first(self.node_set(e, ctx)), self.leafy(e)), "sv", "")
             return Value("string", frame, column)
         v = self.scalar(e, ctx)
         how = {"string": lambda c: c, "number": V.number_to_string, "boolean": V.boolean_to_string}[v.type]
@@ -347,11 +546,10 @@ class Engine:
             a = self.boolean(e.left, ctx)
             b = self.boolean(e.right, a.frame)
             return Value("boolean", b.frame, a.column & b.column if e.op == "and" else a.column | b.column)
-        if e.op in ("+", "-", "*", "div", "mod"):
+        if e.op in _ARITHMETIC:
             a = self.number(e.left, ctx)
             b = self.number(e.right, a.frame)
-            x, y = a.column, b.column
-            return Value("number", b.frame, {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "div": lambda: V.divide(x, y), "mod": lambda: V.modulo(x, y)}[e.op]())
+            return Value("number", b.frame, _ARITHMETIC[e.op](a.column, b.column))
         left, right = self.type_of(e.left), self.type_of(e.right)
         if "nodes" in (left, right) and "boolean" not in (left, right):
             return self._compare_nodes(e, left, right, ctx)
@@ -372,8 +570,8 @@ class Engine:
         """Whether any node, or any pair, compares so."""
         op = e.op
         if left == "nodes" and right == "nodes":
-            a = self.string_values(self.node_set(e.left, ctx)).select("k", F.col("sv").alias("a"))
-            b = self.string_values(self.node_set(e.right, ctx)).select(F.col("k").alias("k2"), F.col("sv").alias("b"))
+            a = self.string_values(self.node_set(e.left, ctx), self.leafy(e.left)).select("k", F.col("sv").alias("a"))
+            b = self.string_values(self.node_set(e.right, ctx), self.leafy(e.right)).select(F.col("k").alias("k2"), F.col("sv").alias("b"))
             if op == "=":
                 hit = a.join(b, (F.col("k") == F.col("k2")) & (F.col("a") == F.col("b"))).select("k").distinct()
             else:  # extremes of both sides tell whether any pair differs or is in order
@@ -387,9 +585,9 @@ class Engine:
                 hit = a.join(b, F.col("k") == F.col("k2")).where(test).select("k")
         else:
             nodes, other = (e.left, e.right) if left == "nodes" else (e.right, e.left)
-            op = op if left == "nodes" else {"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(op, op)
+            op = op if left == "nodes" else _TURNED.get(op, op)
             kind = self.type_of(other)
-            found = self.string_values(self.node_set(nodes, ctx)).select("k", "sv")
+            found = self.string_values(self.node_set(nodes, ctx), self.leafy(nodes)).select("k", "sv")
             v = self.scalar(other, ctx)
             if isinstance(other, (G.Number, G.Literal, G.Variable)):
                 against, column = found, v.column
@@ -417,7 +615,7 @@ class Engine:
             if name == "count":
                 result, default = found.groupBy("k").agg(F.count(F.lit(1)).cast("double").alias("r")), 0.0
             else:
-                result, default = self.string_values(found).groupBy("k").agg(F.sum(V.to_number(F.col("sv"))).alias("r")), 0.0
+                result, default = self.string_values(found, self.leafy(args[0])).groupBy("k").agg(F.sum(V.to_number(F.col("sv"))).alias("r")), 0.0
             return Value("number", *self._attach(ctx, result, "r", default))
         if name in ("local-name", "namespace-uri", "name"):
             arg = args[0] if args else this
@@ -445,8 +643,14 @@ class Engine:
             v = (self.number if name == "substring" and i else self.string)(a, frame)
             frame = v.frame
             columns.append(v.column)
+        kind, column = self._text_function(e, columns)
+        return Value(kind, frame, column)
+
+    def _text_function(self, e: G.Call, columns: list[Column]) -> tuple[str, Column]:
+        """Type and column of a function of strings (and, for substring(), numbers)."""
+        name = e.name
         if name in self.functions and name not in _ARITY:
-            return Value("string", frame, F.coalesce(self.functions[name](*columns).cast("string"), F.lit("")))
+            return "string", F.coalesce(self.functions[name](*columns).cast("string"), F.lit(""))
         a, b, c = (*columns, None, None, None)[:3]
         at = F.instr(a, b) if b is not None and name.startswith("substring-") else None
         table = {
@@ -458,12 +662,9 @@ class Engine:
             "substring": lambda: ("string", V.substring(a, b, c)),
             "string-length": lambda: ("number", F.length(a).cast("double")),
             "normalize-space": lambda: ("string", F.trim(F.regexp_replace(a, r"[ \t\n\r]+", " "))),
-            "translate": lambda: ("string", F.translate(a, *_literals(args)) if _literals(args) else F.expr("''")),
+            "translate": lambda: ("string", F.translate(a, *_literals(e.args)) if _literals(e.args) else V.translate(a, b, c)),
         }
-        if name == "translate" and not _literals(args):
-            raise XPathError("translate() takes literals as its second and third arguments")
-        kind, column = table[name]()
-        return Value(kind, frame, column)
+        return table[name]()
 
     def _lang(self, e, ctx: DataFrame) -> Value:
         """By the nearest xml:lang, without case, up to a hyphen."""
@@ -489,8 +690,11 @@ class Engine:
         ctx = self.contexts() if top else contexts.select(F.struct("doc_id", "pre").alias("k"), F.col("doc_id").alias("c_doc"), F.col("pre").alias("c_pre"), F.lit(0).alias("c_sub"), F.lit(1).alias("c_pos"), F.lit(1).alias("c_size"))
         origin = [] if top else [F.col("k.pre").alias("context_pre")]
         if self.type_of(e) == "nodes":
-            found = self.string_values(self.node_set(e, ctx, top))
+            found = self.string_values(self.node_set(e, ctx), self.leafy(e))
             return found.select("doc_id", *origin, "pre", "sub", "kind", "name", "prefix", F.col("sv").alias("value"))
+        kids: dict = {}
+        if top and not G.counts_places(e) and (cell := self._cell(e, False, kids)) is not None:
+            return self._with_kids(self._roots(), kids).select("doc_id", cell.column.alias("value"))
         v = self.scalar(e, ctx)
         return v.frame.select(F.col("c_doc").alias("doc_id"), *origin, v.column.alias("value"))
 

@@ -29,6 +29,7 @@ def release() -> None:
     """Remove the tables of all workspaces so far: for when no result over them is read any more."""
     while _OPEN:
         work = _OPEN.pop()
+        work.released = True
         if work.spark.sparkContext._jsc is not None and work.owner == os.getpid():
             work.remove(work.root)
 
@@ -50,6 +51,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.owner = spark, os.getpid()
         self.root = f"{shared_dir(spark)}/xylem-{name}-{uuid.uuid4().hex}"
+        self.released = False
         self._n = 0
         _OPEN.append(self)
 

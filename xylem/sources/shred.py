@@ -3,12 +3,16 @@
 ``nodes`` numbers every node of a document in document order: the document itself (0), elements, their attributes right after
 them, text, CDATA, comments and processing instructions. ``last`` is the highest number in a node's subtree, so a descendant of x has
 ``pre`` in (x.pre, x.last]. A document that is not well-formed has a row in ``documents`` with the reason and no nodes.
+
+Element rows also have ``attrs``, a map from an attribute's name as written to its value, and ``leaf``, the string-value of an element
+that holds nothing or one piece of text (else null), so that most predicates need no join.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,16 +29,26 @@ TOKEN = (
     rf"|</{_NAME}\s*+>|<{_NAME}(?:{_ATTRIBUTE})*+\s*+/?+>|[^<]++|<"
 )
 MAX_DEPTH = 256
-NODE_COLUMNS = ["doc_id", "pre", "last", "level", "parent_pre", "child_ord", "elem_ord", "kind", "name", "prefix", "value", "line"]
+NODE_COLUMNS = ["doc_id", "pre", "last", "level", "parent_pre", "child_ord", "elem_ord", "kind", "name", "prefix", "value", "line", "attrs", "leaf"]
+#: Names of elements that hold more than one piece of text are remembered up to so many.
+MOST_COMPLEX = 1000
 
 
 @dataclass
 class Shredded:
-    """The tables of a collection; ``work`` holds those that were written."""
+    """The tables of a collection. ``complex_names``: names of all elements that lack a ``leaf``, where that is known."""
 
     documents: DataFrame
     nodes: DataFrame
     ns_decls: DataFrame
+    complex_names: frozenset[str] | None = None
+
+
+def held(xml: Shredded, work: Workspace) -> Shredded:
+    """The collection at rest: its tables written once, for many queries."""
+    nodes = work.save(xml.nodes, "nodes")
+    names = [r.name for r in nodes.where("kind = 'element' AND leaf IS NULL").select("name").distinct().limit(MOST_COMPLEX + 1).collect()]  # of the vocabulary's size, and bounded
+    return Shredded(work.save(xml.documents, "documents"), nodes, work.save(xml.ns_decls, "ns_decls"), frozenset(names) if len(names) <= MOST_COMPLEX else None)
 
 
 def _prefix(q: Column) -> Column:
@@ -62,6 +76,7 @@ def tokens(docs: DataFrame, id_col: str = "doc_id", xml_col: str = "xml") -> Dat
 
 def shred(docs: DataFrame, id_col: str = "doc_id", xml_col: str = "xml", drop_space: bool = False, strict: bool = False, entities: dict[str, str] | None = None, max_depth: int = MAX_DEPTH, save: bool = True) -> Shredded:
     """Shred (id, xml) rows. ``drop_space`` drops white-space-only text; ``strict`` makes unknown entities an error; ``entities`` adds internal ones.
+    Those that a document's own type declares are expanded too, in text and attribute values; text that refers to one in circles keeps all such references.
 
     Ids must be unique. Null or empty xml is a document without a root. With ``save`` the token table is written once and read by
     all three tables.
@@ -122,7 +137,26 @@ def shred(docs: DataFrame, id_col: str = "doc_id", xml_col: str = "xml", drop_sp
     t = t.drop("pairs", "step", "error", "close_kind", "close_name")
     if save:
         t = work.save(t, "tokens")
-    return Shredded(_documents(t), _nodes(t, entities), _decls(t, entities))
+    declaring = t.where("kind = 'doctype' AND contains(tok, '<!ENTITY')")
+    own = None
+    if not save or declaring.head(1):
+        own = work.save(declaring.select("doc_id", "tok").mapInPandas(_declared, f"e_doc {t.schema['doc_id'].dataType.simpleString()}, own map<string,string>"), "entities")
+    return Shredded(_documents(t), _nodes(t, entities, own), _decls(t, entities, own))
+
+
+def _declared(frames):
+    """(document, reference to text) of the internal general entities that document types declare; null where one goes in circles."""
+    from xylem.operators.dtd import internal_entities
+
+    for f in frames:
+        yield pd.DataFrame({"e_doc": f["doc_id"], "own": [{f"&{k};": v for k, v in internal_entities(tok).items()} for tok in f["tok"]]})
+
+
+def _with_own(t: DataFrame, own: DataFrame | None) -> tuple[DataFrame, Column | None]:
+    """``t`` with its document's own entities, if any document has some."""
+    if own is None:
+        return t, None
+    return t.join(own, F.col("doc_id") == F.col("e_doc"), "left").drop("e_doc"), F.col("own")
 
 
 def _documents(t: DataFrame) -> DataFrame:
@@ -137,17 +171,24 @@ def _documents(t: DataFrame) -> DataFrame:
     return g.select("doc_id", F.when(F.col("error").isNull(), "OK").otherwise("PARSE").alias("status"), "error", "error_line", F.when(F.col("error").isNull(), _local(F.col("root"))).alias("root_name"), get("version").alias("version"), get("encoding").alias("encoding"), get("standalone").alias("standalone"), F.col("decl").isNotNull().alias("had_decl"), struct.alias("doctype"))
 
 
-def _nodes(t: DataFrame, entities) -> DataFrame:
+def _nodes(t: DataFrame, entities, own_entities: DataFrame | None) -> DataFrame:
     kind, tok = F.col("kind"), F.col("tok")
-    good = t.where("problem IS NULL AND node")
+    good, declared = _with_own(t.where("problem IS NULL AND node"), own_entities)
     size = F.size("attrs")
     last = F.when(kind == "open", F.col("close_pre") - 1).when(kind == "empty", F.col("pre") + size).otherwise(F.col("pre"))
     value = (
         F.when(kind == "comment", F.expr("substring(tok, 5, length(tok) - 7)")).when(kind == "cdata", F.expr("substring(tok, 10, length(tok) - 12)"))
-        .when(kind == "pi", F.regexp_extract(tok, r"(?s)^<\?[^\s?]+\s?(.*)\?>$", 1)).when(kind.isin("text", "space"), unescape(tok, entities))
+        .when(kind == "pi", F.regexp_extract(tok, r"(?s)^<\?[^\s?]+\s?(.*)\?>$", 1)).when(kind.isin("text", "space"), unescape(tok, entities, declared))
     )
     named = F.when(kind.isin("open", "empty"), "element").when(kind.isin("text", "space"), "text").otherwise(kind)
-    base = good.select("doc_id", "pre", last.cast("int").alias("last"), "level", named.alias("kind"), "qname", value.alias("value"), "line", "attrs")
+    attrs = F.transform("attrs", lambda x: F.struct(x["name"].alias("q"), unescape(F.translate(x["value"], "\n\t", "  "), entities, declared).alias("v")))
+    base = good.select("doc_id", "pre", last.cast("int").alias("last"), "level", named.alias("kind"), "qname", value.alias("value"), "line", attrs.alias("attrs"))
+    # one shuffle by document serves this and the windows below
+    after = Window.partitionBy("doc_id").orderBy("pre")
+    following = lambda c: F.lead(c).over(after)
+    single = (following("pre") == F.col("last")) & following("kind").isin("text", "cdata")
+    leaf = F.when(F.col("kind") == "element", F.when(F.col("last") == F.col("pre") + F.size("attrs"), "").when(single, following("value")))
+    base = base.withColumn("leaf", leaf)
     # the parent is the latest element a level above: each element also stands where its children look for it
     seen = base.withColumn("at", F.explode(F.when(F.col("kind") == "element", F.array(F.col("level") - 1, F.col("level"))).otherwise(F.array(F.col("level") - 1))))
     look = Window.partitionBy("doc_id", "at").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
@@ -157,8 +198,8 @@ def _nodes(t: DataFrame, entities) -> DataFrame:
     own = own.withColumn("child_ord", F.row_number().over(sib)).withColumn("elem_ord", F.when(F.col("kind") == "element", F.sum(F.when(F.col("kind") == "element", 1).otherwise(0)).over(sib)).cast("int"))
     parts = lambda q: (F.when(F.col("kind") == "pi", q).otherwise(_local(q)), F.when(F.col("kind") != "pi", _prefix(q)))
     itself = F.struct(F.lit(0).alias("i"), F.lit(None).cast("string").alias("q"), F.lit(None).cast("string").alias("v"))
-    attrs = F.transform("attrs", lambda x, i: F.struct((i + 1).alias("i"), x["name"].alias("q"), unescape(F.translate(x["value"], "\n\t", "  "), entities).alias("v")))
-    rows = own.withColumn("a", F.explode(F.concat(F.array(itself), attrs)))
+    each = F.transform("attrs", lambda x, i: F.struct((i + 1).alias("i"), x["q"].alias("q"), x["v"].alias("v")))
+    rows = own.withColumn("a", F.explode(F.concat(F.array(itself), each)))
     i, isattr = F.col("a.i"), F.col("a.i") > 0
     q = F.coalesce("a.q", "qname")
     local, prefix = parts(q)
@@ -166,17 +207,18 @@ def _nodes(t: DataFrame, entities) -> DataFrame:
         "doc_id", (F.col("pre") + i).cast("int").alias("pre"), F.when(isattr, F.col("pre") + i).otherwise(F.col("last")).cast("int").alias("last"), F.when(isattr, F.col("level") + 1).otherwise(F.col("level")).cast("int").alias("level"),
         F.when(isattr, F.col("pre")).otherwise(F.col("parent_pre")).cast("int").alias("parent_pre"), F.when(isattr, i).otherwise(F.col("child_ord")).cast("int").alias("child_ord"), F.when(~isattr, F.col("elem_ord")).cast("int").alias("elem_ord"),
         F.when(isattr, "attribute").otherwise(F.col("kind")).alias("kind"), local.alias("name"), prefix.alias("prefix"), F.coalesce("a.v", "value").alias("value"), F.col("line").cast("int").alias("line"),
+        F.when(~isattr & (F.col("kind") == "element"), F.map_from_entries("attrs")).alias("attrs"), F.when(~isattr, F.col("leaf")).alias("leaf"),
     )
-    top = t.where("problem IS NULL AND pos = 0").select("doc_id", F.lit(0).alias("pre"), F.col("total").alias("last"), F.lit(0).alias("level"), F.lit(None).cast("int").alias("parent_pre"), F.lit(1).alias("child_ord"), F.lit(None).cast("int").alias("elem_ord"), F.lit("document").alias("kind"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("prefix"), F.lit(None).cast("string").alias("value"), F.lit(1).alias("line"))
+    top = t.where("problem IS NULL AND pos = 0").select("doc_id", F.lit(0).alias("pre"), F.col("total").alias("last"), F.lit(0).alias("level"), F.lit(None).cast("int").alias("parent_pre"), F.lit(1).alias("child_ord"), F.lit(None).cast("int").alias("elem_ord"), F.lit("document").alias("kind"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("prefix"), F.lit(None).cast("string").alias("value"), F.lit(1).alias("line"), F.lit(None).cast("map<string,string>").alias("attrs"), F.lit(None).cast("string").alias("leaf"))
     return out.union(top)
 
 
-def _decls(t: DataFrame, entities) -> DataFrame:
+def _decls(t: DataFrame, entities, own: DataFrame | None) -> DataFrame:
     """(doc_id, owner_pre, owner_last, prefix, uri); the default namespace has an empty prefix."""
-    rows = t.where("problem IS NULL AND size(decls) > 0")
+    rows, declared = _with_own(t.where("problem IS NULL AND size(decls) > 0"), own)
     last = F.when(F.col("kind") == "open", F.col("close_pre") - 1).otherwise(F.col("pre") + F.size("attrs"))
-    x = rows.select("doc_id", F.col("pre").alias("owner_pre"), last.cast("int").alias("owner_last"), F.explode("decls").alias("d"))
-    return x.select("doc_id", "owner_pre", "owner_last", F.when(F.col("d.name") == "xmlns", "").otherwise(F.substring_index("d.name", ":", -1)).alias("prefix"), unescape(F.col("d.value"), entities).alias("uri"))
+    x = rows.select("doc_id", F.col("pre").alias("owner_pre"), last.cast("int").alias("owner_last"), F.explode("decls").alias("d"), *(["own"] if own is not None else []))
+    return x.select("doc_id", "owner_pre", "owner_last", F.when(F.col("d.name") == "xmlns", "").otherwise(F.substring_index("d.name", ":", -1)).alias("prefix"), unescape(F.col("d.value"), entities, declared).alias("uri"))
 
 
 def with_namespaces(nodes: DataFrame, ns_decls: DataFrame) -> DataFrame:
@@ -193,7 +235,7 @@ def shred_fragments(docs: DataFrame, id_col: str = "doc_id", xml_col: str = "xml
     """Like ``shred`` for fragments: several top elements and text are allowed; they stand below an element named ``#document-fragment``."""
     s = shred(docs.withColumn(xml_col, F.concat(F.lit("<document-fragment>"), xml_col, F.lit("</document-fragment>"))), id_col, xml_col, **options)
     name = F.when((F.col("pre") == 1) & (F.col("kind") == "element"), "#document-fragment").otherwise(F.col("name"))
-    return Shredded(s.documents, s.nodes.withColumn("name", name), s.ns_decls)
+    return Shredded(s.documents, s.nodes.withColumn("name", name), s.ns_decls, s.complex_names)
 
 
 def read_xml(spark: SparkSession, path: str) -> DataFrame:
