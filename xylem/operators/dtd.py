@@ -13,8 +13,8 @@ from xylem.sources.shred import Shredded
 
 _NAME = r"[^\s<>/!?=\"'&()|,*+%;\[\]]+"
 _QUOTED = r"(?:\"[^\"]*\"|'[^']*')"
-#: Depth to which entities are expanded within entities.
-MOST_NESTED, MOST_PARAMETERS = 10, 16
+#: Depth to which entities are expanded within entities, and parameter entities; characters of an expanded entity.
+MOST_NESTED, MOST_PARAMETERS, MOST_EXPANDED = 10, 16, 1 << 20
 
 
 @dataclass
@@ -45,31 +45,41 @@ class Dtd:
     attributes: dict[tuple[str, str], Attribute] = field(default_factory=dict)
     notations: dict[str, tuple[str | None, str | None]] = field(default_factory=dict)
 
-    def expanded(self) -> dict[str, str]:
-        """Internal general entities with all they refer to; those that go in circles or too deep are left out."""
-        out = {}
-        for name, e in self.entities.items():
-            if e.value is not None and (text := self._expand(e.value, (name,))) is not None:
-                out[name] = text
-        return out
+    def expanded(self) -> dict[str, str | None]:
+        """Internal general entities with all they refer to; None for those that go in circles or grow past MOST_EXPANDED. Past MOST_NESTED levels, references stay."""
+        return {name: self._expand(e.value, (name,)) for name, e in self.entities.items() if e.value is not None}
 
     def _expand(self, text: str, path: tuple) -> str | None:
-        def one(m):
-            name = m[1]
-            e = self.entities.get(name)
-            if e is None or e.value is None:
-                return m[0]
-            if name in path or len(path) >= MOST_NESTED:
-                raise RecursionError
-            inner = self._expand(e.value, (*path, name))
+        out, at = [], 0
+        for m in re.finditer(rf"&({_NAME});", text):
+            e = self.entities.get(m[1])
+            if m[1] in path:
+                return None
+            inner = m[0] if e is None or e.value is None or m[1] in _PREDEFINED else e.value if len(path) >= MOST_NESTED else self._expand(e.value, (*path, m[1]))
             if inner is None:
-                raise RecursionError
-            return inner
+                return None
+            out += [text[at : m.start()], inner]
+            at = m.end()
+            if sum(map(len, out)) > MOST_EXPANDED:
+                return None
+        return "".join([*out, text[at:]])
+
+
+_PREDEFINED = {"lt": "<", "gt": ">", "amp": "&", "quot": '"', "apos": "'"}
+
+
+def internal_entities(doctype: str) -> dict[str, str | None]:
+    """Name to replacement text, all references resolved, of the general entities in the internal subset of ``<!DOCTYPE ...>``; None for those in circles."""
+    m = re.search(r"\[(.*)\]\s*>$", doctype, re.DOTALL)
+
+    def plain(ref):
+        if ref[3]:
+            return _PREDEFINED[ref[3]]
+        cp = int(ref[1], 16) if ref[1] else int(ref[2])
+        return chr(cp) if 0 < cp < 0x110000 and not 0xD800 <= cp <= 0xDFFF else ref[0]
 
-        try:
-            return re.sub(rf"&({_NAME});", one, text)
-        except RecursionError:
-            return None
+    found = parse_dtd(m[1]).expanded() if m else {}
+    return {k: v and re.sub(r"&(?:#x([0-9a-fA-F]+);|#([0-9]+);|(lt|gt|amp|quot|apos);)", plain, v) for k, v in found.items()}
 
 
 def _unquote(s: str) -> str:

@@ -71,7 +71,7 @@ def _write(xml: Shredded, tails: DataFrame, nodes: DataFrame | None, declaration
     if extra is not None:
         rows = rows.union(extra.select("doc_id", F.col("at").alias("pre"), "at", "side", "depth", "s"))
     if nodes is not None:
-        spans = nodes.select("doc_id", "pre").join(xml.nodes.select(F.col("doc_id").alias("w_doc"), F.col("pre").alias("w_pre"), "last"), (F.col("doc_id") == F.col("w_doc")) & (F.col("pre") == F.col("w_pre")))
+        spans = nodes.select("doc_id", "pre").distinct().join(xml.nodes.select(F.col("doc_id").alias("w_doc"), F.col("pre").alias("w_pre"), "last"), (F.col("doc_id") == F.col("w_doc")) & (F.col("pre") == F.col("w_pre")))
         spans = spans.select(F.col("w_doc"), F.col("w_pre"), F.col("last").alias("w_last"))
         inner = rows.join(spans, (F.col("doc_id") == F.col("w_doc")) & (F.col("pre") >= F.col("w_pre")) & (F.col("pre") <= F.col("w_last")))
         return _join(inner, ["w_doc", "w_pre"], "xml").withColumnsRenamed({"w_doc": "doc_id", "w_pre": "pre"})
@@ -134,8 +134,8 @@ def _exclusive(xml: Shredded, inclusive: tuple[str, ...]) -> DataFrame:
     j = near.join(up, (F.col("doc_id") == F.col("u_doc")) & (F.col("prefix") == F.col("u_prefix")) & (F.col("u_own") < F.col("own")) & (F.col("u_last") >= F.col("own")), "left")
     out = j.groupBy("doc_id", "own", "prefix", "uri").agg(F.max_by("u_uri", "u_own").alias("above")).where("coalesce(above, '') <> uri").drop("above")
     if inclusive:
-        names = ["" if p == "#default" else p for p in inclusive]
-        out = out.union(_inclusive(xml).where(F.col("prefix").isin(names)).select("doc_id", "own", "prefix", "uri")).distinct()
+        listed = F.col("prefix").isin(["" if p == "#default" else p for p in inclusive])
+        out = out.where(~listed).union(_inclusive(xml).where(listed).select("doc_id", "own", "prefix", "uri"))
     return out
 
 

@@ -40,16 +40,17 @@ def detect(data: bytes) -> str:
         return "iso-8859-1"
 
 
-def _decode(encoding: str | None):
+def _decode(encoding: str | None, column: str | None):
     def run(batches):
         for batch in batches:
             texts, used = [], []
-            for data in batch.column("data").to_pylist():
+            names = batch.column(column).to_pylist() if column else [encoding] * batch.num_rows
+            for data, name in zip(batch.column("data").to_pylist(), names):
                 if data is None:
                     texts.append(None)
                     used.append(None)
                     continue
-                codec = SUPPORTED.get(encoding.lower(), encoding) if encoding else detect(data)
+                codec = SUPPORTED.get(name.lower(), name) if name else detect(data)
                 try:
                     texts.append(data.decode(codec))
                     used.append(codec)
@@ -62,10 +63,10 @@ def _decode(encoding: str | None):
     return run
 
 
-def decode(docs: DataFrame, encoding: str | None = None) -> DataFrame:
-    """(…, data) to (…, xml, codec); bytes that cannot be decoded give null, which shreds to an error row."""
+def decode(docs: DataFrame, encoding: str | None = None, column: str | None = None) -> DataFrame:
+    """(…, data) to (…, xml, codec), by ``encoding``, by that which ``column`` names in each row, or by detection; bytes that cannot be decoded give null, which shreds to an error row."""
     rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "data")
-    return docs.select(*[c for c in docs.columns if c != "data"], "data").mapInArrow(_decode(encoding), f"{rest}, xml string, codec string")
+    return docs.select(*[c for c in docs.columns if c != "data"], "data").mapInArrow(_decode(encoding, column), f"{rest}, xml string, codec string")
 
 
 def encode(docs: DataFrame, encoding: str, column: str = "xml") -> DataFrame:
