@@ -35,6 +35,27 @@ def test_values(spark):
     assert make(spark, "<a> <b> x </b> </a>", drop_space=True).nodes.where("kind = 'text'").count() == 1
 
 
+def test_entities_of_the_internal_subset(spark):
+    deep = "".join(f"<!ENTITY e{i} '{i}&e{i + 1};'>" for i in range(14)) + "<!ENTITY e14 'end'>"
+    x = make(
+        spark, "<!DOCTYPE a [<!ENTITY who \"W &amp; &#65;\"><!ENTITY twice '&who;&who;'><!-- <!ENTITY no 'x'> --><!ENTITY who 'second'>]><a n='&twice;' xmlns:p='urn:&who;'>&twice;&no;&lt;</a>",
+        "<!DOCTYPE a [<!ENTITY x '&y;'><!ENTITY y '&x;'><!ENTITY z 'Z'>]><a><b>&z;</b><c>&z;&x;&lt;</c></a>", "<a>&who;</a>", f"<!DOCTYPE a [{deep}]><a>&e0;</a>",
+    )
+    got = {}
+    for r in x.nodes.where("value IS NOT NULL").orderBy("doc_id", "pre").collect():
+        got.setdefault(r.doc_id, []).append(r.value)
+    w = "W & A"
+    assert got == {1: [w * 2, w * 2 + "&no;<"], 2: ["Z", "&z;&x;<"], 3: ["&who;"], 4: ["0123456789" + "10&e11;"]}
+    assert x.ns_decls.first().uri == "urn:" + w
+
+
+def test_leaf_values_and_attribute_maps(spark):
+    x = make(spark, "<a x='1' n:y='&lt;'><b/><c></c><d>t&amp;</d><e><![CDATA[<]]></e><f>1<!-- c -->2</f><g><h>i</h></g></a>", "<a> </a>")
+    got = [(r.name, r.leaf, r.attrs) for r in x.nodes.where("kind = 'element'").orderBy("doc_id", "pre").collect()]
+    assert got == [("a", None, {"x": "1", "n:y": "<"}), ("b", "", {}), ("c", "", {}), ("d", "t&", {}), ("e", "<", {}), ("f", None, {}), ("g", None, {}), ("h", "i", {}), ("a", " ", {})]
+    assert make(spark, "<a> </a>", drop_space=True).nodes.where("kind = 'element'").first().leaf == ""
+
+
 def test_metadata(spark):
     d = make(spark, "<?xml version='1.1' encoding=\"UTF-8\" standalone='yes'?><!DOCTYPE r PUBLIC 'p' \"s\" [<!ELEMENT r ANY>]><n:r xmlns:n='u'/>").documents.first()
     assert (d.version, d.encoding, d.standalone, d.had_decl, d.root_name) == ("1.1", "UTF-8", "yes", True, "r")
@@ -120,7 +141,7 @@ def test_dtd(spark):
 
 def test_dtd_entities():
     d = dtd.parse_dtd("<!ENTITY % p '<!ENTITY a \"A\">'> %p; <!ENTITY b 'x&a;y'><!ENTITY b 'second'><!ENTITY c1 '&c2;'><!ENTITY c2 '&c1;'><!ENTITY % m '(#PCDATA)'><!ELEMENT e %m;>", external="<!ENTITY z 'Z'>")
-    assert d.expanded() == {"a": "A", "b": "xAy", "z": "Z"} and d.elements == {"e": "(#PCDATA)"}
+    assert d.expanded() == {"a": "A", "b": "xAy", "z": "Z", "c1": None, "c2": None} and d.elements == {"e": "(#PCDATA)"}
     assert dtd.parse_dtd("<!ENTITY % x SYSTEM 'u'> %x;", loader=lambda u: "<!ELEMENT l ANY>").elements == {"l": "ANY"}
 
 
@@ -241,3 +262,44 @@ def test_encodings(spark, codec):
     docs = spark.createDataFrame([(1, text)], "doc_id long, xml string")
     assert encodings.decode(encodings.encode(docs, codec)).first().xml == text
     assert encodings.decode(spark.createDataFrame([(1, b"\xff\xff\xff")], "doc_id long, data binary"), "utf-8").first().xml is None
+
+
+def test_table_function(spark):
+    from xylem.functions import tables
+
+    tables.register(spark)
+    doc = "<a x='1'>t<!-- c -->u<b/><![CDATA[v]]><?p q?></a>"
+    x = make(spark, doc).nodes.select("pre", "last", "level", "parent_pre", "kind", "name", "prefix", "value").orderBy("pre").collect()
+    got = spark.sql("SELECT * FROM xml_nodes('" + doc.replace("'", "\\'") + "')").drop("error").orderBy("pre").collect()
+    assert [tuple(r) for r in got] == [(*r[:3], 0 if r.kind == "document" else r.parent_pre, *r[4:]) for r in map(lambda r: r, x)]
+    assert spark.sql("SELECT kind, error FROM xml_nodes('<a>')").collect() == [("error", "the document ends too soon, line 1")]
+
+
+def test_files(spark, tmp_path):
+    from xylem.sources import files
+
+    docs = spark.createDataFrame([(1, "<a>é</a>"), (2, None), (3, "<b>\n</b>")], "doc_id long, xml string")
+    for encoding in ("UTF-8", "UTF-16"):
+        files.save_xml(docs, str(tmp_path / encoding), encoding)
+        got = files.load_xml(spark, str(tmp_path / encoding), encoding).collect()
+        assert sorted((int(r.doc_id), r.xml) for r in got) == [(1, "<a>é</a>"), (2, ""), (3, "<b>\n</b>")]
+
+
+def test_command_line_takes_the_environment(spark, tmp_path, monkeypatch, capsys):
+    from xylem import cli
+
+    (tmp_path / "d.xml").write_text("<a><b>1</b><b>2</b></a>")
+    file = str(tmp_path / "d.xml")
+
+    def run(*args):
+        code = cli.main([*args])
+        return code, capsys.readouterr().out.strip()
+
+    assert run("xpath", file, "//b") == (0, "<b>1</b>\n<b>2</b>") and run("xpath", file, "//b", "-c") == (0, "2.0") and run("xpath", file, "b[") == (3, "")
+    monkeypatch.setenv("XYLEM_COUNT", "Yes")
+    monkeypatch.setenv("XYLEM_OUTPUT", "json")
+    monkeypatch.setenv("XYLEM_INDENT", "1")
+    assert run("xpath", file, "//b") == (0, "2.0") and run("parse", file)[1].startswith('{"name":"a"') and run("format", file, "--output", "xml") == (0, "<a>\n <b>1</b>\n <b>2</b>\n</a>")
+    monkeypatch.setenv("XYLEM_OUTPUT", "pdf")
+    with pytest.raises(SystemExit):
+        run("parse", file)

@@ -114,9 +114,9 @@ for _name, _expr, _sql in (
     ("round", "round(cents div 10)", "floor(cents / 10.0::DOUBLE + 0.5)"),
     ("boolean", "boolean(size[. > 25])", "size > 25"),
     ("not", "not(size > 25)", "NOT size > 25"),
-    ("true_false", "true() and not(false())", "true"),
+    ("true_false", "true() and not(size > 25) or false()", "size <= 25"),
     ("unary_minus", "-size", "-size::DOUBLE"),
-    ("nan_compare", "number(name) = number(name)", "false"),
+    ("nan_compare", "number(name) = number(name) or number(name) != size and size > 25", "size > 25"),
     ("division_by_zero", "size div 0 > 1000000", "size > 0"),
 ):
     path(f"function_{_name}", "parts", _expr, PARTS + f"SELECT doc_id, {_sql or '0'} AS value FROM p")
@@ -149,15 +149,15 @@ def parse_errors(spark, sf_dir):
     return shred.shred(o.select(F.col("o_orderkey").alias("doc_id"), F.element_at(F.array(*map(F.lit, bad)), (F.col("o_orderkey") % 5 + 1).cast("int")).alias("xml"))).documents.select("doc_id", "status")
 
 
-@register("parse_fragments", "SELECT p_partkey AS doc_id, 2::BIGINT AS n FROM part")
+@register("parse_fragments", "SELECT p_partkey AS doc_id, 1 + p_size::BIGINT AS n FROM part")
 def parse_fragments(spark, sf_dir):
-    p = corpora.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit("<a>1</a>text<b/>").alias("xml"))
+    p = corpora.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("<a>1</a>text"), F.expr("repeat('<b/>', p_size)")).alias("xml"))
     return shred.shred_fragments(p).nodes.where("kind = 'element' AND level = 2").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("parse_drop_space", "SELECT p_partkey AS doc_id, 1::BIGINT AS n FROM part")
+@register("parse_drop_space", "SELECT p_partkey AS doc_id, p_size::BIGINT AS n FROM part")
 def parse_drop_space(spark, sf_dir):
-    p = corpora.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("<a>\n  <b>"), F.col("p_partkey"), F.lit("</b>\n</a>")).alias("xml"))
+    p = corpora.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat(F.lit("<a>\n"), F.expr("repeat('  <b>x</b>\\n', p_size)"), F.lit("</a>")).alias("xml"))
     return shred.shred(p, drop_space=True).nodes.where("kind = 'text'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -261,12 +261,11 @@ def event_counts(spark, sf_dir):
     return events.events(corpora.shredded(spark, sf_dir, "orders")).groupBy("doc_id", "event").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("events_stream", ITEMS + "SELECT doc_id, e AS event, k * count(*) + c AS n FROM i, (VALUES ('start_element', 3, 1), ('end_element', 3, 1), ('start_document', 0, 1), ('end_document', 0, 1)) t(e, k, c) GROUP BY doc_id, e, k, c")
+@register("events_stream", ITEMS + "SELECT doc_id, e AS event, k * count(*) + c AS n FROM i, (VALUES ('start_element', 3, 1), ('end_element', 3, 1), ('start_document', 0, 1), ('end_document', 0, 1)) t(e, k, c) GROUP BY doc_id, e, k, c UNION ALL SELECT doc_id, 'characters', sum(length(qty::VARCHAR) + length(cents::VARCHAR))::BIGINT FROM i GROUP BY doc_id")
 def event_stream(spark, sf_dir):
-    """The same documents in chunks of 37 characters through Structured Streaming."""
-    chunks = events.chunked(corpora.orders(spark, sf_dir), 37)
-    out = events.stream_all(spark, chunks)
-    return out.where("event <> 'characters'").groupBy(F.col("stream_id").alias("doc_id"), "event").agg(F.count(F.lit(1)).alias("n"))
+    """The same documents in chunks of 37 characters through Structured Streaming; text, which comes in pieces, counts by its characters."""
+    out = events.stream_all(spark, events.chunked(corpora.orders(spark, sf_dir), 37))
+    return out.groupBy(F.col("stream_id").alias("doc_id"), "event").agg(F.sum(F.when(F.col("event") == "characters", F.length("text")).otherwise(1)).alias("n"))
 
 
 # validation

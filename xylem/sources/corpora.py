@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from xylem.functions.values import escape_attribute, escape_text
 from xylem.session import Workspace
-from xylem.sources.shred import Shredded, shred
+from xylem.sources.shred import Shredded, held, shred
 
-_HELD: dict[tuple, Shredded] = {}
+_HELD: dict[tuple, tuple[Workspace, Shredded]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,19 +70,38 @@ def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", tag("doc", tag("p", escape_text(F.coalesce("text", F.lit("")))), xml__lang=F.coalesce("lang", F.lit(""))).alias("xml"))
 
 
+def customers_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One <customers> per nation, a namespace declared on every <c>."""
+    c = table(spark, sf_dir, "customer")
+    one = tag("c", "", xmlns__s=F.lit("urn:s"), seg=F.col("c_mktsegment"))
+    return c.groupBy("c_nationkey").agg(joined(["c_custkey"], one).alias("m")).select(F.col("c_nationkey").cast("long").alias("doc_id"), tag("customers", F.col("m")).alias("xml"))
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per part with every kind of node: mark, declaration, document type with entities, instructions, comments, namespaces, CDATA."""
+    p = table(spark, sf_dir, "part")
+    size, end = F.col("p_size").cast("string"), F.lit("\r\n")
+    pieces = [
+        F.when(F.col("p_size") % 3 == 0, "\ufeff").otherwise(""), F.lit('<?xml version="1.0" encoding="UTF-8" standalone="'), F.when(F.col("p_size") % 2 == 0, "yes").otherwise("no"), F.lit('"?>'), end,
+        F.lit('<!DOCTYPE note PUBLIC "-//N//'), size, F.lit('" "note.dtd" [<!ENTITY brand "'), F.col("p_brand"), F.lit('"><!ENTITY twice "&brand;&amp;&brand;">]>'), end,
+        F.lit("<!-- out --><?out "), F.col("p_name"), F.lit(" x?>"), end, F.lit("<k:note"), F.expr("repeat('\\r\\n', p_size % 4)"), F.lit(' xmlns="urn:n" xmlns:k="urn:k" id="n'), F.col("p_partkey").cast("string"), F.lit('" k:size="'), size, F.lit('"><?size '), size,
+        F.lit("?><!--"), F.col("p_name"), F.lit('--><k:brand>&brand;</k:brand><div and="1"><mod>'), size, F.lit("</mod></div>line one"), end, F.lit("line two<![CDATA[<"), F.col("p_type"), F.lit(">]]><or>&twice;</or></k:note>"), end, F.lit("<!-- after -->"),
+    ]
+    return p.select(F.col("p_partkey").alias("doc_id"), F.concat(*pieces).alias("xml"))
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw web pages: none is well-formed XML."""
     return table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("xml"))
 
 
-CORPORA = {f.__name__: f for f in (orders, geography, parts, customers, prose, pages)}
+CORPORA = {f.__name__: f for f in (orders, geography, parts, customers, customers_spaced, notes, prose, pages)}
 
 
 def shredded(spark: SparkSession, sf_dir: str, corpus: str) -> Shredded:
     """A corpus's tables, made and written once per session and folder: the collection at rest that queries run over."""
     key = (spark.sparkContext.applicationId, sf_dir, corpus)
-    if key not in _HELD:
+    if key not in _HELD or _HELD[key][0].released:
         work = Workspace(spark, corpus)
-        x = shred(CORPORA[corpus](spark, sf_dir))
-        _HELD[key] = Shredded(work.save(x.documents, "documents"), work.save(x.nodes, "nodes"), work.save(x.ns_decls, "ns_decls"))
-    return _HELD[key]
+        _HELD[key] = work, held(shred(CORPORA[corpus](spark, sf_dir)), work)
+    return _HELD[key][1]
