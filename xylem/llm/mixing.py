@@ -103,16 +103,26 @@ def fold(level: DataFrame) -> DataFrame:
     return rows.select("source", F.aggregate("items", empty, step).alias("f")).select("source", "f.left", "f.done")
 
 
+def numbered(*order):
+    """The number of a row among those that agree in id, source and size: rows without an id spread over sources and sizes."""
+    return F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(*order))
+
+
+def same(doc_id, source, size, occ):
+    """Whether a row with all four columns is the one so named."""
+    return F.col("doc_id").eqNullSafe(F.col(doc_id)) & F.col("source").eqNullSafe(F.col(source)) & (F.col("size") == F.col(size)) & (F.col("occ") == F.col(occ))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, leaf: int = LEAF) -> DataFrame:
     """(doc_id, occ, source, size, source_size, target, copies) per row of ``docs`` (doc_id, source, size).
 
-    ``occ`` tells rows apart that repeat a doc_id (ordered by source and size; equal rows in any order). Sizes of 0 and sources
+    ``occ`` numbers rows that agree in doc_id, source and size, which are all that counts here. Sizes of 0 and sources
     without words take nothing. Null ids and sources are values like others. An empty table gives no rows.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "mixing")
     docs = docs.select("doc_id", "source", "size")
-    docs = work.save(docs.withColumn("occ", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("source").asc_nulls_last(), "size"))), "sizes")
+    docs = work.save(docs.withColumn("occ", numbered(F.lit(0))), "sizes")
     target = work.save(targets(docs, weights, share, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     target = target.withColumnRenamed("source", "of")
@@ -123,22 +133,22 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, leaf: int = LE
     n = F.col("n")
     while True:
         # a source's n open documents fall into n / leaf buckets by a draw; place is their order there, u decides their duel
-        drawn = {k: draw(F.lit(k), F.lit(level), "doc_id", "occ") for k in ("u", "place", "bucket")}
+        drawn = {k: draw(F.lit(k), F.lit(level), "doc_id", "source", F.col("size").cast("long"), "occ") for k in ("u", "place", "bucket")}
         rows = open_.withColumns({"u": drawn["u"], "place": drawn["place"], "bucket": F.floor(drawn["bucket"] * F.ceil(n / leaf)).cast("long")})
         folded = work.save(fold(rows), f"level{level}")
-        decided.append(folded.select("source", F.explode("done").alias("x")).select("source", "x.doc_id", "x.occ", "x.p"))
+        decided.append(folded.select("source", F.explode("done").alias("x")).select("source", "x.doc_id", "x.size", "x.occ", "x.p"))
         open_ = folded.where("left IS NOT NULL").select("source", "left.doc_id", "left.occ", "left.size", "left.p")
         counts = open_.groupBy(F.col("source").alias("of")).agg(F.count(F.lit(1)).alias("n"))
         open_ = open_.join(counts, F.col("source").eqNullSafe(F.col("of"))).select("source", "doc_id", "occ", "size", "p", "n")
         level += 1
         if not open_.where("n > 1").head(1):
-            decided.append(open_.withColumn("p", F.when(F.col("p") >= 0.5, 1.0).otherwise(0.0)).select("source", "doc_id", "occ", "p"))
+            decided.append(open_.withColumn("p", F.when(F.col("p") >= 0.5, 1.0).otherwise(0.0)).select("source", "doc_id", "size", "occ", "p"))
             break
     took = decided[0]
     for more in decided[1:]:
         took = took.union(more)
-    took = took.where("p > 0.5").select(F.col("doc_id").alias("d"), F.col("occ").alias("o"), F.lit(1).alias("extra"))
-    out = base.join(took, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("occ") == F.col("o")), "left")
+    took = took.where("p > 0.5").select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").cast("long").alias("z"), F.col("occ").alias("o"), F.lit(1).alias("extra"))
+    out = base.join(took, same("d", "s", "z", "o"), "left")
     copies = F.when(F.col("size") > 0, F.col("sure") + F.when(whole(F.col("p")), F.round("p")).otherwise(F.coalesce("extra", F.lit(0)))).otherwise(0)
     return out.select("doc_id", "occ", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
 
@@ -151,8 +161,8 @@ def shares(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
     """``docs``, each row as often as the mix takes it (copies above one repeat the row)."""
-    named = docs.select(F.struct("*").alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"))
-    took = mix(named.drop("row"), weights, share, most).where("copies > 0").select(F.col("doc_id").alias("d"), F.col("occ").alias("o"), F.col("copies").alias("n"))
-    named = named.withColumn("occ", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("source").asc_nulls_last(), "size")))
-    out = named.join(took, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("occ") == F.col("o")))
+    named = docs.select(F.struct("*").alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("h"))
+    took = mix(named.drop("row", "h"), weights, share, most).where("copies > 0").select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("size").alias("z"), F.col("occ").alias("o"), F.col("copies").alias("n"))
+    named = named.withColumn("occ", numbered("h"))
+    out = named.join(took, same("d", "s", "z", "o"))
     return out.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).select("row.*")
