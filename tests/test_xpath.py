@@ -98,6 +98,7 @@ PREDICATES = [
 def test_columns_of_rows_equal_joins(xml, joined):
     """Predicates and scalars by both ways."""
     paths = [f"//*[{p}]" for p in PREDICATES] + ["//price[. > 15]/@q | //price[. = 10]", "//title[. = 'A']/../@id", "//@p[. > 5]", "//book[1]", "//book[1]/price[. < 15]", "//*[2]/@id", "//text()[2]", "//comment()[last()]"]
+    paths += ["//*/following::*", "//text()/preceding::node()", "//*/following-sibling::*", "//*/preceding-sibling::node()[self::title or self::comment()]", "//@*/following::*", "//title/ancestor::*[@id]", "//*[ancestor::book]", "//*/ancestor-or-self::*", "//*/descendant::text()", "//book/descendant-or-self::node()", "//@*/..", "//book[following::book/@id = 'b3']/@id", "//price[preceding-sibling::title = 'B']"]
     scalars = ["concat(book/@id, '-', count(book))", "sum(book/price)", "count(book[price > 15])", "boolean(book)", "book/price = 20", "count(//price)", "string(//@p)", "a + b", "a = 5", "a", "count(a) + sum(b)", "normalize-space(comment())", "name()", "not(a < b)", "number(b) div a"]
     for expressions in [paths[i : i + 10] for i in range(0, len(paths), 10)] + [scalars]:
         found = []
@@ -111,6 +112,26 @@ def test_columns_of_rows_equal_joins(xml, joined):
         assert found[0] == found[1]
 
 
+def test_axes_against_pairs(xml):
+    """Distinct nodes of each axis from all elements or attributes, by brute force over the node table."""
+    nodes = [r.asDict() for r in xml.nodes.select("doc_id", "pre", "last", "parent_pre", "kind").collect()]
+    tree = [n for n in nodes if n["kind"] != "attribute"]
+    holds = {
+        "following": lambda c, n: n["pre"] > c["last"], "preceding": lambda c, n: n["last"] < c["pre"], "ancestor": lambda c, n: n["last"] >= c["pre"] and n["pre"] < c["pre"],
+        "descendant": lambda c, n: c["kind"] != "attribute" and c["pre"] < n["pre"] <= c["last"], "parent": lambda c, n: n["pre"] == c["parent_pre"],
+        "following-sibling": lambda c, n: c["kind"] != "attribute" and n["parent_pre"] == c["parent_pre"] and n["pre"] > c["pre"], "preceding-sibling": lambda c, n: c["kind"] != "attribute" and n["parent_pre"] == c["parent_pre"] and n["pre"] < c["pre"],
+    }
+    union, want = None, set()
+    for start, kind in (("//*", "element"), ("//@*", "attribute")):
+        for axis, f in holds.items():
+            want |= {(start, axis, n["doc_id"], n["pre"]) for c in nodes if c["kind"] == kind for n in tree if n["doc_id"] == c["doc_id"] and f(c, n)}
+            engine = Engine(xml)
+            one = engine.node_set(parse(f"{start}/{axis}::node()"), engine.contexts()).select(F.lit(start).alias("s"), F.lit(axis).alias("a"), "doc_id", "pre")
+            union = one if union is None else union.union(one)
+    got = [tuple(r) for r in union.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_predicates_over_rows_plan_no_join(xml):
     engine = Engine(xml)
     joins = lambda e: engine.node_set(parse(e), engine.contexts())._jdf.queryExecution().executedPlan().toString().count("Join")

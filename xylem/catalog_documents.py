@@ -253,20 +253,21 @@ def _regions(spark, sf_dir):
     return r.select(F.concat(F.lit("r"), "r_regionkey", F.lit(".xml")).alias("uri"), F.concat(F.lit("<r><k>"), "r_regionkey", F.lit("</k><v id='v'>"), "r_name", F.lit("</v></r>")).alias("xml"))
 
 
-_HREF = F.concat(F.lit('<xi:include href="r'), F.col("n_regionkey").cast("string"), F.lit('.xml"'))
+def _href():
+    return F.concat(F.lit('<xi:include href="r'), F.col("n_regionkey").cast("string"), F.lit('.xml"'))
 
 
 @register("xinclude_element", "SELECT n_nationkey::BIGINT AS doc_id, r_name || r_name || r_regionkey AS value FROM nation JOIN region ON n_regionkey = r_regionkey")
 def include_element(spark, sf_dir):
     """By child sequence, by id and by xpointer()."""
-    parts = F.concat(*[F.concat(_HREF, F.lit(f' xpointer="{p}"/>')) for p in ("element(/1/2)", "v", "xpointer(//k)")])
+    parts = F.concat(*[F.concat(_href(), F.lit(f' xpointer="{p}"/>')) for p in ("element(/1/2)", "v", "xpointer(//k)")])
     return xpath(xinclude.resolve(_including(spark, sf_dir, parts), _regions(spark, sf_dir)), "concat(/n/v[1], /n/v[2], /n/k)").select("doc_id", "value")
 
 
 @register("xinclude_fallback", "SELECT n_nationkey::BIGINT AS doc_id, CASE WHEN n_regionkey < 2 THEN r_regionkey || r_name ELSE 'none' END AS value FROM nation JOIN region ON n_regionkey = r_regionkey")
 def include_fallback(spark, sf_dir):
     some = _regions(spark, sf_dir).where("uri IN ('r0.xml', 'r1.xml')")
-    return xpath(xinclude.resolve(_including(spark, sf_dir, F.concat(_HREF, F.lit("><xi:fallback>no<f>ne</f></xi:fallback></xi:include>"))), some), "string(/n)").select("doc_id", "value")
+    return xpath(xinclude.resolve(_including(spark, sf_dir, F.concat(_href(), F.lit("><xi:fallback>no<f>ne</f></xi:fallback></xi:include>"))), some), "string(/n)").select("doc_id", "value")
 
 
 @register("xinclude_text", "SELECT n_nationkey::BIGINT AS doc_id, CASE WHEN n_regionkey < 4 THEN r_name || ' é <' ELSE 'unread' END AS value FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -274,7 +275,7 @@ def include_text(spark, sf_dir):
     """Text in an encoding that the include names; what it cannot read is a missing resource."""
     r = corpora.table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey", F.lit(".xml")).alias("uri"), F.concat("r_name", F.lit(" é <")).alias("xml"))
     latin = F.when(F.col("n_regionkey") < 4, "iso-8859-1").otherwise("us-ascii")
-    include = F.concat(_HREF, F.lit(' parse="text" encoding="'), latin, F.lit('"><xi:fallback>unread</xi:fallback></xi:include>'))
+    include = F.concat(_href(), F.lit(' parse="text" encoding="'), latin, F.lit('"><xi:fallback>unread</xi:fallback></xi:include>'))
     return xpath(xinclude.resolve(_including(spark, sf_dir, include), encodings.encode(r, "iso-8859-1")), "string(/n)").select("doc_id", "value")
 
 

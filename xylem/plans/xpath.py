@@ -159,7 +159,7 @@ class Engine:
                 found = ctx.select("k", "c_doc").join(self.nodes.where("kind = 'document'"), F.col("c_doc") == F.col("doc_id")).select("k", *self.columns)
         elif e.start == "context":
             if steps and steps[0] != G.Step("self", G.Test("node")):
-                found = self._step(self._at(ctx), steps.pop(0))
+                found = self._step(self._at(ctx), steps.pop(0), top)
             else:
                 if steps:
                     steps.pop(0)
@@ -167,7 +167,7 @@ class Engine:
         else:
             found = self.node_set(e.start, ctx)
         for s in steps:
-            found = self._step(found, s)
+            found = self._step(found, s, top)
         return found.select("k", *self.columns)
 
     def leafy(self, e) -> bool:
@@ -235,8 +235,12 @@ class Engine:
         n = n.where(F.col("kind") == t.kind)
         return n.where(F.col("name") == t.name) if t.name is not None else n
 
-    def _step(self, current: DataFrame, step: G.Step) -> DataFrame:
-        """Nodes that ``step`` leads to from ``current`` (k, NODE)."""
+    def _step(self, current: DataFrame, step: G.Step, whole: bool = False) -> DataFrame:
+        """Nodes that ``step`` leads to from ``current`` (k, NODE), each once. ``whole``: there is one context for each document, so ``k`` is its id.
+
+        Where no predicate counts places, no pairs are made: what follows any of some nodes follows the one that ends first, and what lies above
+        or below any of them is found by a semi-join.
+        """
         if step.axis == "namespace":
             found = self._namespaces(current, step)
         else:
@@ -261,6 +265,16 @@ class Engine:
                 "preceding": (tree, N("last") < C("pre")),
             }
             table, condition = axis[step.axis]
+            if not any(G.positional(p) or self.type_of(p) == "number" for p in step.predicates):
+                nearest = {"following": F.min("c_last"), "preceding": F.max("c_pre"), "following-sibling": F.min("c_pre"), "preceding-sibling": F.max("c_pre")}.get(step.axis)
+                if nearest is not None:
+                    if "sibling" in step.axis:
+                        c = c.where(~own).groupBy("k", "c_doc_id", "c_parent_pre").agg(nearest.alias("c_pre")).withColumn("c_kind", F.lit("element"))
+                    else:
+                        c = c.groupBy("k", "c_doc_id").agg(nearest.alias("c_last" if step.axis == "following" else "c_pre"))
+                    return self._chosen(c.join(table, same & condition).withColumn("o", F.lit(0)), step)
+                if whole and step.axis in ("parent", "ancestor", "ancestor-or-self", "descendant", "descendant-or-self"):
+                    return self._chosen(table.join(c.drop("k"), same & condition, "left_semi").withColumn("k", F.col("doc_id")).withColumn("o", F.lit(0)), step)
             found = c.join(table, same & condition).withColumn("o", F.col("c_pre"))
         found = self._chosen(found, step)
         if step.axis in ("child", "attribute", "self"):  # a node has one parent: nothing repeats
