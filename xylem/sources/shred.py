@@ -62,7 +62,8 @@ def _local(q: Column) -> Column:
 def tokens(docs: DataFrame, id_col: str = "doc_id", xml_col: str = "xml") -> DataFrame:
     """(doc_id, pos, tok, kind) of the markup and text of each document, ends of lines normalised; dealt by document."""
     text = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(xml_col), F.lit("")), "^﻿", ""), "\r\n?", "\n")
-    t = docs.select(F.col(id_col).alias("doc_id"), F.posexplode_outer(F.regexp_extract_all(text, F.lit(TOKEN), 0)).alias("pos", "tok"))
+    # whole documents are dealt, not their tokens: what follows keeps this partitioning
+    t = docs.repartition(id_col).select(F.col(id_col).alias("doc_id"), F.posexplode_outer(F.regexp_extract_all(text, F.lit(TOKEN), 0)).alias("pos", "tok"))
     tok = F.col("tok")
     blank = ~tok.rlike(r"[^ \t\n\r]")
     kind = (
