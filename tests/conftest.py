@@ -24,4 +24,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from xylem.session import release
+
+    release()
     session.stop()
