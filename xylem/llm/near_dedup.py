@@ -350,17 +350,18 @@ def grouped(docs: DataFrame, how: Settings = Settings()) -> DataFrame:
     rows = work.save(docs.select(*rest, "text").mapInArrow(_units(how), f"{kinds}, unit binary, n_shingles long, bands array<long>"), "units")
     units = rows.where("n_shingles > 0").groupBy("unit").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     keyed = work.save(units.select("unit", F.posexplode("bands").alias("band", "key")), "bands")
-    # buckets of two or more, as stars
-    stars = work.save(keyed.groupBy("band", "key").agg(F.min("unit").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1"), "stars")
-    bucketed = work.save(keyed.join(stars, ["band", "key"]).select("band", "key", "unit", "centre"), "buckets")
+    # buckets of two or more: counted without units, as most bands stand alone; then as stars
+    shared = work.save(keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band", "key"), "shared")
+    bucketed = work.save(keyed.join(shared, ["band", "key"]).select("band", "key", "unit"), "buckets")
     work.drop(keyed)
-    clusters = components(bucketed.select(F.col("unit").alias("u"), F.col("centre").alias("v")).distinct(), work, "clusters")
+    centres = work.save(bucketed.groupBy("band", "key").agg(F.min("unit").alias("centre")), "centres")
+    edges = bucketed.join(centres, ["band", "key"]).select(F.col("unit").alias("u"), F.col("centre").alias("v")).distinct()
+    clusters = components(edges, work, "clusters")
     members = clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct())
     # full sets of the candidates, from the text of one document each
-    some = rows.where("n_shingles > 0").join(members, F.col("unit") == F.col("node"), "left_semi")
-    chosen = some.groupBy("unit").agg(F.min("doc_id").alias("of"), F.max("n_shingles").alias("n"))
+    chosen = units.select("unit", "doc_id").join(members, F.col("unit") == F.col("node"), "left_semi").select(F.col("doc_id").alias("of")).distinct()
     # rows that repeat a doc_id can have other texts: the unit tells them apart again below
-    texts = docs.select("doc_id", "text").join(chosen.select("of").distinct(), F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
+    texts = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi")
     sets = texts.select("text").mapInArrow(_sets(how), "unit binary, sig binary, items binary").join(members, F.col("unit") == F.col("node"))
     sets = work.save(sets.select("unit", "root", "sig", "items"), "sets")
     linked = _linked(sets, bucketed, how, work)

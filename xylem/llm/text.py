@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,6 +65,16 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
+def trim() -> None:
+    """Give memory that is free again back to the system: an idle worker would hold on to it beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):  # glibc
+        _LIBC.malloc_trim(0)
+
+
+_LIBC = ctypes.CDLL(None)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch cut between rows into slices of about ``most`` bytes of text."""
     if not batch.num_rows:
@@ -74,6 +85,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         end = max(start + 1, int(np.searchsorted(offs, offs[start] + most, "right")) - 1)
         yield batch.slice(start, min(end, batch.num_rows) - start)
         start = end
+    trim()
 
 
 def word_bounds(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
