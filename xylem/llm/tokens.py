@@ -12,6 +12,7 @@ import json
 import os
 import unicodedata
 import zlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -83,32 +84,54 @@ class Encoder:
         #: Whether ids of pieces end to end are those of the text.
         self.by_pieces = parts["normalizer"] == NORMALIZER and parts["pre_tokenizer"] == PRE_TOKENIZER and parts["model"]["type"] == "BPE" and parts["truncation"] is None and all(m.startswith("<|") for m in marks)
         self.chars = byte_chars()
+        suffix = parts["model"].get("end_of_word_suffix")
+        self.by_pieces = self.by_pieces and bool(suffix)
+        vocabulary = self.tokenizer.get_vocab()
+        #: Whether an id ends a word.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self._clear()
 
     def _clear(self):
-        self.keys, self.at, self.n, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        # keys in order with their entries' numbers; an entry's place in ``ids`` and length by its number
+        self.keys, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.at, self.n, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        """Add pieces to the cache. Those that are surely one pre-token, unchanged by the normalizer, go to the tokenizer's model at once."""
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> np.ndarray:
+        """Add pieces to the cache; their entries' numbers. Those that are surely one pre-token, unchanged by the normalizer, go to the tokenizer's model at once."""
         if len(self.keys) + len(keys) > CACHE_PIECES and len(self.keys):
             raise OverflowError
-        model, chars = self.tokenizer.model, self.chars
-        ids, other = [None] * len(pieces), []
+        plain, one, other, chars = [], [], [], self.chars
         for i, p in enumerate(pieces):
-            if p.isascii() and p.isalpha() or len(p) == 1 and "!" <= p <= "~":  # these bytes stand for themselves
-                ids[i] = [x.id for x in model.tokenize(p)]
-            elif p.isalpha() and p.islower() and max(p) < "\u0250" and unicodedata.is_normalized("NFC", p):
-                ids[i] = [x.id for x in model.tokenize(p.encode().decode("latin-1").translate(chars))]
-            else:
-                other.append(i)
-        if other:
-            for i, e in zip(other, self.tokenizer.encode_batch_fast([pieces[i] for i in other], add_special_tokens=False)):
-                ids[i] = e.ids
-        n = np.array([len(x) for x in ids], np.int64)
-        at = len(self.ids) + np.r_[0, np.cumsum(n)[:-1]]
-        self.ids = np.r_[self.ids, np.fromiter((i for x in ids for i in x), np.int32, int(n.sum()))]
-        order = np.argsort(np.r_[self.keys, keys], kind="stable")
-        self.keys, self.at, self.n = (np.r_[x, y][order] for x, y in ((self.keys, keys), (self.at, at), (self.n, n)))
+            if p.isalpha():
+                if p.isascii():  # these bytes stand for themselves
+                    plain.append(p)
+                    one.append(i)
+                    continue
+                if p.islower() and max(p) < "\u0250" and unicodedata.is_normalized("NFC", p):
+                    plain.append(p.encode().decode("latin-1").translate(chars))
+                    one.append(i)
+                    continue
+            other.append(i)
+        ids, n = [None] * 2, np.zeros(len(pieces), np.int64)
+        ids[0] = np.fromiter([x.id for x in chain.from_iterable(map(self.tokenizer.model.tokenize, plain))], np.int32)
+        last = np.flatnonzero(self.ends[ids[0]])  # each has one token that ends a word
+        if len(last) != len(one) or len(one) and last[-1] != len(ids[0]) - 1:
+            raise ValueError("a word without a token that ends it")
+        n[np.array(one, np.int64)] = np.diff(last, prepend=-1)
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i] for i in other], add_special_tokens=False)]
+        n[np.array(other, np.int64)] = [len(x) for x in found]
+        ids[1] = np.fromiter(chain.from_iterable(found), np.int32)
+        order = np.array(one + other, np.int64)
+        at = np.empty(len(pieces), np.int64)
+        at[order] = len(self.ids) + np.cumsum(n[order]) - n[order]
+        numbers = len(self.at) + np.arange(len(pieces))
+        self.ids, self.at, self.n = np.r_[self.ids, *ids], np.r_[self.at, at], np.r_[self.n, n]
+        order = np.argsort(keys)
+        where = np.searchsorted(self.keys, keys[order])
+        self.keys, self.entry = np.insert(self.keys, where, keys[order]), np.insert(self.entry, where, numbers[order])
+        return numbers
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a string column end to end, each document's with END_ID after it, and the documents' offsets."""
@@ -137,19 +160,18 @@ class Encoder:
             text = raw.tobytes()
             pieces = [text[starts[i] : ends[i]].decode("utf-8", "replace") for i in where[new]]
             try:
-                self._learn(keys[new], pieces)
+                entry[new] = self._learn(keys[new], pieces)
             except OverflowError:
                 self._clear()
                 pieces = [text[starts[i] : ends[i]].decode("utf-8", "replace") for i in where]
-                self._learn(keys, pieces)
-            entry = self._find(keys)
+                entry = self._learn(keys, pieces)
         at, n = self.at[entry][codes], self.n[entry][codes]
         ends_of = np.r_[0, np.cumsum(n)]
-        out_at = ends_of[:-1] + np.repeat(np.arange(len(offs) - 1), np.diff(first))  # an end id for each document before
+        before = np.repeat(np.arange(len(offs) - 1), np.diff(first))  # an end id for each document before
         doc_offs = ends_of[first] + np.arange(len(offs))
         out = np.full(doc_offs[-1], END_ID, np.int32)
-        step = np.arange(ends_of[-1]) - np.repeat(ends_of[:-1], n)
-        out[np.repeat(out_at, n) + step] = self.ids[np.repeat(at, n) + step]
+        each = np.arange(ends_of[-1])
+        out[each + np.repeat(before, n)] = self.ids[each + np.repeat(at - ends_of[:-1], n)]
         return out, doc_offs
 
     def _whole(self, column) -> tuple[np.ndarray, np.ndarray]:
@@ -159,9 +181,11 @@ class Encoder:
         return np.fromiter((i for x in found for i in (*x, END_ID)), np.int32, int(offs[-1])), offs
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == keys, at, -1) if len(self.keys) else np.full(len(keys), -1, np.int64)
+        """Entries' numbers of keys, -1 for unknown ones."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.entry[at], -1)
 
 
 def crc(ids: np.ndarray) -> int:
