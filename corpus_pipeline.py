@@ -13,23 +13,27 @@ from xylem.session import Workspace
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base limits or lie far out in their language and source go. Null text has no words and goes; so does an empty one."""
     return quality.kept_documents(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that differ in white space at most, one row stays, that with the smallest doc_id (null last)."""
     return exact_dedup.kept_documents(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shingles of five words, a similarity of 0.8."""
+    """Of documents that are linked by shingles of five words and a similarity of 0.8 or more, one stays; documents without words all do."""
     return near_dedup.kept_documents(docs, near_dedup.FIVE_WORDS)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix of sources takes it: not at all, once or twice. Documents without words go."""
     return mixing.mixed_documents(docs)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of each row, with its place in a sequence of at most 4096 tokens. An empty table gives no rows, as in every stage."""
     return packing.packed(docs)
 
 
