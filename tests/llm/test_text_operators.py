@@ -369,6 +369,16 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_columns_that_clash(spark):
+    from pyspark.sql import functions as F
+
+    pages = spark.createDataFrame([(1, "u", "x" * 150), (2, "v", "x" * 150), (3, "w", None)], "page_id long, url string, html string")
+    for c in ("digest", "size", "first", "d", "n", "blob", "value", "path"):
+        pages = pages.withColumn(c, F.lit("clash"))
+    got = rows(warc.round_trip(pages))
+    assert [(r[0], r[1], r[3], r[4]) for r in got] == [(1, 150, "response", None), (2, 150, "revisit", 1), (3, 0, "response", None)]
+
+
 @pytest.mark.parametrize("packed", [True, False])
 def test_warc_salvage(packed):
     make = warc.member if packed else bytes
