@@ -7,7 +7,7 @@ from xylem.session import Workspace
 from xylem.sources import corpora
 
 SF = "/root/testdata/sf0.001"
-QUERIES = ["edit_copy"]
+QUERIES = ["edit_copy", "json"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
