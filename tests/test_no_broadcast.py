@@ -7,7 +7,7 @@ from xylem.session import Workspace
 from xylem.sources import corpora
 
 SF = "/root/testdata/sf0.001"
-QUERIES = ["edit_copy", "json", "edit_insert", "canonical_exclusive"]
+QUERIES = ["edit_copy", "json", "edit_insert", "canonical_exclusive", "test_node"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
