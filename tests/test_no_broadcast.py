@@ -7,7 +7,7 @@ from xylem.session import Workspace
 from xylem.sources import corpora
 
 SF = "/root/testdata/sf0.001"
-QUERIES = ["edit_copy", "json", "edit_insert", "canonical_exclusive", "test_node", "serialize", "edit_remove", "edit_remove_attribute", "edit_remove_children", "edit_prepend", "canonical_inclusive_prefixes", "namespace_of_element"]
+QUERIES = ["edit_copy", "json", "edit_insert", "canonical_exclusive", "test_node", "serialize", "edit_remove", "edit_remove_attribute", "edit_remove_children", "edit_prepend", "canonical_inclusive_prefixes", "namespace_of_element", "edit_set_text"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
